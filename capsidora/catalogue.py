@@ -6,9 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from capsidora.operators.packed import split_packed
+from capsidora.session import table
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each value of lineage, go_terms and pfam_domains with its position."""
+    lineage = split_packed(table(spark, sf_dir, "swissprot_entries"), "accession", {"lineage": None})
+    return lineage.unionByName(split_packed(table(spark, sf_dir, "gold_standard"), "protein_id", {"go_terms": "GO:", "pfam_domains": "PF"}))
+
+
+def queries() -> dict[str, Query]:
+    return {"p4_found": p4_found}
 
 
 def oracle_sql() -> dict[str, str]:
