@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from capsidora.llm.quota import category_key, draw
 from capsidora.llm.topn import top_n_per_group
 from capsidora.session import table
 
@@ -17,12 +18,59 @@ def source_name(c: Column) -> Column:
     return F.lower(F.regexp_replace(c, BLANKS, ""))
 
 
+def sample_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """record_set, record_id, category: a query_id with its latest run, a protein_id once."""
+    runs = table(spark, sf_dir, "consensus_results").where("query_id is not null")
+    runs = runs.groupBy("query_id").agg(F.max(F.struct("run_at", category_key(F.col("functional_category")).alias("c"))).alias("m"))
+    gold = table(spark, sf_dir, "gold_standard").where("protein_id is not null")
+    gold = gold.groupBy("protein_id").agg(F.max(category_key(F.col("true_category"))).alias("c"))
+    runs = runs.select(F.lit("consensus_results").alias("record_set"), F.col("query_id").alias("record_id"), F.col("m.c").alias("category"))
+    return runs.unionByName(gold.select(F.lit("gold_standard").alias("record_set"), F.col("protein_id").alias("record_id"), F.col("c").alias("category")))
+
+
+def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wanted, observed and taken records of each target, and what is missing."""
+    return draw(sample_records(spark, sf_dir), table(spark, sf_dir, "sample_targets"))[1]
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The targets that fall short."""
+    return p2_report(spark, sf_dir).where("deficit > 0").select("record_set", "category")
+
+
+def p2_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The drawn records themselves."""
+    return draw(sample_records(spark, sf_dir), table(spark, sf_dir, "sample_targets"))[0]
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best targets of each query and database; rows without query, source_db or evalue take no part."""
     hits = table(spark, sf_dir, "foldseek_hits").select("query", source_name(F.col("source_db")).alias("source_db"), "target", "evalue", "bits")
     return top_n_per_group(hits, ["query", "source_db"], [("evalue", "asc"), ("bits", "desc")], "target", 5, rank="hit_rank")
 
 
+def _key_sql(c: str) -> str:
+    joined = f"regexp_replace(regexp_replace(lower({c}), '^[\\s\\x{{A0}}_-]+|[\\s\\x{{A0}}_-]+$', '', 'g'), '[\\s\\x{{A0}}_-]+', '_', 'g')"
+    return f"case when coalesce({joined}, '') = '' then 'unknown' else {joined} end"
+
+
+P2_REPORT_SQL = f"""
+with runs as (
+  select query_id, {_key_sql("functional_category")} as k,
+    row_number() over (partition by query_id order by run_at desc nulls last, {_key_sql("functional_category")} desc) as o
+  from consensus_results where query_id is not null),
+records as (
+  select 'consensus_results' as record_set, k from runs where o = 1
+  union all
+  select 'gold_standard', max({_key_sql("true_category")}) from gold_standard where protein_id is not null group by protein_id),
+observed as (select record_set, k, count(*) as n from records group by all),
+plan as (
+  select t.record_set, t.category, cast(greatest(min_rows, floor(target_share * sample_size + 0.5)) as bigint) as wanted,
+    cast(coalesce(n, 0) as bigint) as observed
+  from sample_targets t left join observed o on o.record_set = t.record_set and o.k = {_key_sql("t.category")})
+select record_set, category, wanted, observed, least(wanted, observed) as taken, greatest(wanted - observed, 0) as deficit from plan
+"""
+
 P3_SQL = """
 with hits as (
   select query, lower(regexp_replace(source_db, '^\\s+|\\s+$', '', 'g')) as source_db, target, evalue, bits
@@ -38,8 +86,8 @@ select query, source_db, cast(hit_rank as integer) as hit_rank, target from rank
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p3_found": p3_found}
+    return {"p2_found": p2_found, "p2_report": p2_report, "p2_sample": p2_sample, "p3_found": p3_found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": P3_SQL}
+    return {"p2_found": f"select record_set, category from ({P2_REPORT_SQL}) where deficit > 0", "p2_report": P2_REPORT_SQL, "p3_found": P3_SQL}
