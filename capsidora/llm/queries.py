@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from capsidora.llm.neardup import groups, near_duplicates, record_pairs
 from capsidora.llm.quota import category_key, draw
 from capsidora.llm.topn import top_n_per_group
 from capsidora.session import table
@@ -18,6 +19,21 @@ def source_name(c: Column) -> Column:
     return F.lower(F.regexp_replace(c, BLANKS, ""))
 
 
+def sequence_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = table(spark, sf_dir, "swissprot_entries").select(F.col("accession").alias("id"), "sequence")
+    return known.unionByName(table(spark, sf_dir, "prediction_results").select(F.col("sequence_id").alias("id"), F.col("aa_sequence").alias("sequence")))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of records whose common pieces are at least half of all their distinct pieces."""
+    return record_pairs(*near_duplicates(sequence_records(spark, sf_dir), "id", "sequence"))
+
+
+def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each record with the smallest record of its group of near-duplicates."""
+    return groups(*near_duplicates(sequence_records(spark, sf_dir), "id", "sequence"))
+
+
 def sample_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """record_set, record_id, category: a query_id with its latest run, a protein_id once."""
     runs = table(spark, sf_dir, "consensus_results").where("query_id is not null")
@@ -49,6 +65,18 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_n_per_group(hits, ["query", "source_db"], [("evalue", "asc"), ("bits", "desc")], "target", 5, rank="hit_rank")
 
 
+P1_SQL = """
+with seqs as (
+  select id, max(upper(regexp_replace(coalesce(s, ''), '[^A-Za-z]', '', 'g'))) as s from (
+    select accession as id, sequence as s from swissprot_entries union all select sequence_id, aa_sequence from prediction_results)
+  where id is not null group by id),
+pieces as (select distinct id, substr(s, k, 5) as g from (select id, s, unnest(range(1, length(s) - 3)) as k from seqs where length(s) >= 5)),
+n as (select id, count(*) as n from pieces group by id),
+common as (select a.id as id_a, b.id as id_b, count(*) as c from pieces a join pieces b on a.g = b.g and a.id < b.id group by all)
+select id_a, id_b from common join n as x on x.id = id_a join n as y on y.id = id_b where 2 * c >= x.n + y.n - c
+"""
+
+
 def _key_sql(c: str) -> str:
     joined = f"regexp_replace(regexp_replace(lower({c}), '^[\\s\\x{{A0}}_-]+|[\\s\\x{{A0}}_-]+$', '', 'g'), '[\\s\\x{{A0}}_-]+', '_', 'g')"
     return f"case when coalesce({joined}, '') = '' then 'unknown' else {joined} end"
@@ -86,8 +114,8 @@ select query, source_db, cast(hit_rank as integer) as hit_rank, target from rank
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_report": p2_report, "p2_sample": p2_sample, "p3_found": p3_found}
+    return {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_report": p2_report, "p2_sample": p2_sample, "p3_found": p3_found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": f"select record_set, category from ({P2_REPORT_SQL}) where deficit > 0", "p2_report": P2_REPORT_SQL, "p3_found": P3_SQL}
+    return {"p1_found": P1_SQL, "p2_found": f"select record_set, category from ({P2_REPORT_SQL}) where deficit > 0", "p2_report": P2_REPORT_SQL, "p3_found": P3_SQL}
