@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from capsidora.llm.leaks import leaked_items
 from capsidora.llm.neardup import groups, near_duplicates, record_pairs
 from capsidora.llm.quota import category_key, draw
 from capsidora.llm.topn import top_n_per_group
@@ -65,6 +66,11 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_n_per_group(hits, ["query", "source_db"], [("evalue", "asc"), ("bits", "desc")], "target", 5, rank="hit_rank")
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the items of which they hold at least twelve words in a row."""
+    return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 P1_SQL = """
 with seqs as (
   select id, max(upper(regexp_replace(coalesce(s, ''), '[^A-Za-z]', '', 'g'))) as s from (
@@ -113,9 +119,18 @@ select query, source_db, cast(hit_rank as integer) as hit_rank, target from rank
 """
 
 
+P7_SQL = """
+with d as (select doc_id as id, string_split(trim(lower(regexp_replace(text, '[^\\p{L}\\p{N}]+', ' ', 'g'))), ' ') as w from documents),
+i as (select item_id as id, string_split(trim(lower(regexp_replace(text, '[^\\p{L}\\p{N}]+', ' ', 'g'))), ' ') as w from eval_items),
+dw as (select id, array_to_string(w[k:k+11], ' ') as g from (select id, w, unnest(range(1, len(w) - 10)) as k from d)),
+iw as (select id, array_to_string(w[k:k+11], ' ') as g from (select id, w, unnest(range(1, len(w) - 10)) as k from i))
+select distinct dw.id as doc_id, iw.id as item_id from dw join iw using (g)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_report": p2_report, "p2_sample": p2_sample, "p3_found": p3_found}
+    return {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_report": p2_report, "p2_sample": p2_sample, "p3_found": p3_found, "p7_found": p7_found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_SQL, "p2_found": f"select record_set, category from ({P2_REPORT_SQL}) where deficit > 0", "p2_report": P2_REPORT_SQL, "p3_found": P3_SQL}
+    return {"p1_found": P1_SQL, "p2_found": f"select record_set, category from ({P2_REPORT_SQL}) where deficit > 0", "p2_report": P2_REPORT_SQL, "p3_found": P3_SQL, "p7_found": P7_SQL}
