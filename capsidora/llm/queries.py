@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from capsidora.llm.leaks import leaked_items
 from capsidora.llm.neardup import groups, near_duplicates, record_pairs
 from capsidora.llm.quota import category_key, draw
+from capsidora.llm.residue import residue_documents
+from capsidora.llm.tokens import byte_bpe_ids
 from capsidora.llm.topn import top_n_per_group
 from capsidora.session import table
 
@@ -66,11 +68,21 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_n_per_group(hits, ["query", "source_db"], [("evalue", "asc"), ("bits", "desc")], "target", 5, rank="hit_rank")
 
 
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token ids of each document's text; an empty list for null and empty texts."""
+    return byte_bpe_ids(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and the items of which they hold at least twelve words in a row."""
     return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with template residue, filler, errors or notices in place of content."""
+    return residue_documents(table(spark, sf_dir, "documents"))
+
+
 P1_SQL = """
 with seqs as (
   select id, max(upper(regexp_replace(coalesce(s, ''), '[^A-Za-z]', '', 'g'))) as s from (
@@ -129,7 +141,7 @@ select distinct dw.id as doc_id, iw.id as item_id from dw join iw using (g)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_report": p2_report, "p2_sample": p2_sample, "p3_found": p3_found, "p7_found": p7_found}
+    return {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_report": p2_report, "p2_sample": p2_sample, "p3_found": p3_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:
