@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from capsidora.llm.leaks import leaked_items
 from capsidora.llm.neardup import groups, near_duplicates, record_pairs
+from capsidora.llm.neighbours import nearest_vectors
 from capsidora.llm.quota import category_key, draw
 from capsidora.llm.residue import residue_documents
 from capsidora.llm.tokens import byte_bpe_ids
@@ -68,6 +69,11 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_n_per_group(hits, ["query", "source_db"], [("evalue", "asc"), ("bits", "desc")], "target", 5, rank="hit_rank")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five most similar other embeddings of each usable one."""
+    return nearest_vectors(table(spark, sf_dir, "protein_vectors"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The token ids of each document's text; an empty list for null and empty texts."""
     return byte_bpe_ids(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -131,6 +137,22 @@ select query, source_db, cast(hit_rank as integer) as hit_rank, target from rank
 """
 
 
+P5_SQL = """
+with u as (
+  select protein_id as p, source_db as s, max(embedding) as e from protein_vectors
+  where protein_id is not null and source_db is not null and len(embedding) = 64
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0
+  group by all),
+n as (select p, s, e::double[] as e, sqrt(list_inner_product(e::double[], e::double[])) as n from u),
+c as (
+  select a.p as protein_id, a.s as source_db, b.p as nb_protein_id, b.s as nb_source_db,
+    round(list_inner_product(a.e, b.e) / (a.n * b.n), 9) as c
+  from n a join n b on a.p <> b.p or a.s <> b.s),
+r as (
+  select *, row_number() over (partition by protein_id, source_db order by c desc, nb_protein_id, nb_source_db) as nb_rank from c)
+select protein_id, source_db, cast(nb_rank as integer) as nb_rank, nb_protein_id, nb_source_db from r where nb_rank <= 5
+"""
+
 P7_SQL = """
 with d as (select doc_id as id, string_split(trim(lower(regexp_replace(text, '[^\\p{L}\\p{N}]+', ' ', 'g'))), ' ') as w from documents),
 i as (select item_id as id, string_split(trim(lower(regexp_replace(text, '[^\\p{L}\\p{N}]+', ' ', 'g'))), ' ') as w from eval_items),
@@ -141,8 +163,8 @@ select distinct dw.id as doc_id, iw.id as item_id from dw join iw using (g)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_report": p2_report, "p2_sample": p2_sample, "p3_found": p3_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
+    return {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_report": p2_report, "p2_sample": p2_sample, "p3_found": p3_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_SQL, "p2_found": f"select record_set, category from ({P2_REPORT_SQL}) where deficit > 0", "p2_report": P2_REPORT_SQL, "p3_found": P3_SQL, "p7_found": P7_SQL}
+    return {"p1_found": P1_SQL, "p2_found": f"select record_set, category from ({P2_REPORT_SQL}) where deficit > 0", "p2_report": P2_REPORT_SQL, "p3_found": P3_SQL, "p5_found": P5_SQL, "p7_found": P7_SQL}
