@@ -60,11 +60,12 @@ def mask(sequence: Column, scores: Column, threshold: float = 0.7, sign: str = "
 
 def regions(scores: Column, threshold: float = 0.5, least: int = 5) -> Column:
     """Half-open 0-based stretches of at least ``least`` scores at or above the threshold."""
-    high = F.transform(scores, lambda s: F.coalesce(s.cast("double"), F.lit(-1.0)) >= threshold)
-    n = F.size(high)
-    starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.get(high, i) & ~F.coalesce(F.get(high, i - 1), F.lit(False)))
-    ends = F.filter(F.sequence(F.lit(1), n), lambda i: F.get(high, i - 1) & ~F.coalesce(F.get(high, i), F.lit(False)))
-    found = F.filter(F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("start"), b.alias("end"))), lambda r: r["end"] - r["start"] >= least)
+    high, n = F.transform(scores, lambda s: F.coalesce(s.cast("double"), F.lit(-1.0)) >= threshold), F.size(scores)
+    edge = F.array(F.lit(False))
+    before, after = F.concat(edge, F.slice(high, 1, F.greatest(n - 1, F.lit(0)))), F.concat(F.slice(high, 2, F.greatest(n - 1, F.lit(0))), edge)
+    places = lambda other, shift: F.array_compact(F.transform(F.zip_with(high, other, lambda h, o: h & ~o), lambda x, i: F.when(x, i + shift)))
+    pairs = F.zip_with(places(before, 0), places(after, 1), lambda a, b: F.struct(a.alias("start"), b.alias("end")))
+    found = F.filter(pairs, lambda r: r["end"] - r["start"] >= least)
     return F.when(n > 0, found).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
 
 

@@ -32,7 +32,7 @@ def validated(annotations: DataFrame) -> DataFrame:
     s = F.col("similarity")
     status = F.when(s.isNull(), "single_source").when(s >= 0.5, "validated").when(s >= 0.2, "partial").otherwise("conflicting")
     reliability = F.when(s.isNull(), 0.5).otherwise(0.3 * F.least(F.lit(1.0), F.col("databases") / 3) + 0.5 * s + 0.2 * F.when(F.col("kinds") == 1, 1.0).otherwise(0.5))
-    return both.select("query", "databases", status.alias("status"), F.coalesce(s, F.lit(0.0)).alias("similarity"), F.round(reliability, 9).alias("reliability"), F.coalesce("conflicts", F.lit(0)).alias("conflicts"))
+    return both.select("query", "databases", status.alias("status"), F.coalesce(s, F.lit(0.0)).alias("similarity"), F.round(reliability, 6).alias("reliability"), F.coalesce("conflicts", F.lit(0)).alias("conflicts"))
 
 
 def conflicts_from(pairs: DataFrame, least: str = "minor") -> DataFrame:
@@ -59,4 +59,4 @@ def consistency(annotations: DataFrame) -> DataFrame:
 
 def status_report(results: DataFrame) -> DataFrame:
     """Queries, mean and true median of reliability by status."""
-    return results.groupBy("status").agg(F.count("*").alias("n"), F.round(F.avg("reliability"), 9).alias("mean_reliability"), F.round(F.median("reliability"), 9).alias("median_reliability"), F.sum("conflicts").alias("conflicts"))
+    return results.groupBy("status").agg(F.count("*").alias("n"), F.round(F.avg("reliability"), 5).alias("mean_reliability"), F.round(F.median("reliability"), 5).alias("median_reliability"), F.sum("conflicts").alias("conflicts"))
