@@ -14,7 +14,12 @@ def brute(docs, items, run=12):
         w = words(t)
         for k in range(len(w) - run + 1):
             grams.setdefault(tuple(w[k : k + run]), set()).add(i)
-    return {(d, i) for d, t in docs if d is not None for k in range(len(words(t)) - run + 1) for i in grams.get(tuple(words(t)[k : k + run]), ()) if i is not None}
+    out = set()
+    for d, t in docs:
+        w = words(t)
+        for k in range(len(w) - run + 1):
+            out |= {(d, i) for i in grams.get(tuple(w[k : k + run]), ()) if d is not None and i is not None}
+    return out
 
 
 def test_against_brute_force(spark):
