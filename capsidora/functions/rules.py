@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -214,6 +216,11 @@ def _literal(pairs: list[tuple[str, str]]) -> Column:
     return F.array(*[F.struct(F.lit(c).alias("category"), F.lit(t).alias("term")) for c, t in pairs])
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def first_rule(text: Column, table: dict[str, list[str]]) -> Column:
     """The first (category, term) whose term stands in the text, which is in lower case; null if none does."""
     return F.get(F.filter(_literal(flat(table)), lambda r: F.contains(text, r["term"])), 0)
@@ -221,7 +228,7 @@ def first_rule(text: Column, table: dict[str, list[str]]) -> Column:
 
 def by_terms(text: Column, table: dict[str, list[str]]) -> Column:
     """Category of the first matching term; null for null or empty text and without a match."""
-    return F.when(F.length(text) > 0, first_rule(F.lower(text), table)["category"])
+    return F.when(F.length(text) > 0, bound(F.lower(text), lambda t: first_rule(t, table)["category"]))
 
 
 def by_keywords(description: Column, gene: Column | None = None) -> Column:
@@ -231,12 +238,15 @@ def by_keywords(description: Column, gene: Column | None = None) -> Column:
     the protein acts on the host, whatever the keyword's own category.
     """
     text = F.lower(F.concat(F.coalesce(description, F.lit("")), F.lit(" "), F.coalesce(gene, F.lit("")) if gene is not None else F.lit("")))
-    rule = first_rule(text, KEYWORDS)
-    at, size = F.instr(text, rule["term"]), F.length(rule["term"])
-    behind = F.substring(text, at + size, F.lit(BEHIND))
-    before = F.substring(text, F.greatest(at - BEFORE, F.lit(1)), F.least(at - 1, F.lit(BEFORE)))
-    host = F.contains(behind, F.lit("inhibitor")) | F.contains(behind, F.lit("inhibition")) | F.contains(before, F.lit("host"))
-    return F.when(rule.isNull(), "unknown").when((rule["category"] != "host_interaction") & host, "host_interaction").otherwise(rule["category"])
+
+    def decided(text: Column, rule: Column) -> Column:
+        at, size = F.instr(text, rule["term"]), F.length(rule["term"])
+        behind = F.substring(text, at + size, F.lit(BEHIND))
+        before = F.substring(text, F.greatest(at - BEFORE, F.lit(1)), F.least(at - 1, F.lit(BEFORE)))
+        host = F.contains(behind, F.lit("inhibitor")) | F.contains(behind, F.lit("inhibition")) | F.contains(before, F.lit("host"))
+        return F.when(rule.isNull(), "unknown").when((rule["category"] != "host_interaction") & host, "host_interaction").otherwise(rule["category"])
+
+    return bound(text, lambda t: bound(first_rule(t, KEYWORDS), lambda r: decided(t, r)))
 
 
 def by_evidence(description: Column, gene: Column, pfam: Column, superfamily: Column, process: Column, function: Column) -> tuple[Column, Column]:
