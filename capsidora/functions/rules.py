@@ -213,7 +213,9 @@ def flat(table: dict[str, list[str]]) -> list[tuple[str, str]]:
 
 
 def _literal(pairs: list[tuple[str, str]]) -> Column:
-    return F.array(*[F.struct(F.lit(c).alias("category"), F.lit(t).alias("term")) for c, t in pairs])
+    """The pairs as one constant, parsed from text: a call to the JVM for each term would take seconds."""
+    quoted = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return F.expr("array(" + ", ".join(f"named_struct('category', {quoted(c)}, 'term', {quoted(t)})" for c, t in pairs) + ")")
 
 
 def bound(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -249,10 +251,10 @@ def by_keywords(description: Column, gene: Column | None = None) -> Column:
     return bound(text, lambda t: bound(first_rule(t, KEYWORDS), lambda r: decided(t, r)))
 
 
-def by_evidence(description: Column, gene: Column, pfam: Column, superfamily: Column, process: Column, function: Column) -> tuple[Column, Column]:
-    """Category by the strongest evidence that gives one (Pfam, SUPERFAMILY, GO process, GO function, keywords), and which it was."""
+def by_evidence(description: Column, gene: Column | None, pfam: Column | None, superfamily: Column | None, process: Column | None, function: Column | None) -> tuple[Column, Column]:
+    """Category by the strongest evidence that gives one (Pfam, SUPERFAMILY, GO process, GO function, keywords), and which it was; None is evidence that there isn't."""
     ladder = [("pfam", pfam, PFAM), ("superfamily", superfamily, SUPERFAMILY), ("go_bp", process, GO_PROCESS), ("go_mf", function, GO_FUNCTION)]
-    found = [(name, text, by_terms(text, table)) for name, text, table in ladder]
+    found = [(name, text, by_terms(text, table)) for name, text, table in ladder if text is not None]
     category = F.coalesce(*[c for _, _, c in found], by_keywords(description, gene))
     source = F.coalesce(*[F.when(c.isNotNull(), F.concat(F.lit(f"{name}:"), text)) for name, text, c in found], F.lit("keywords"))
     return category, source

@@ -47,9 +47,8 @@ def consensus(hits: DataFrame, annotations: DataFrame, queries: DataFrame) -> Da
     first, second = F.get("p", 0), F.get("p", 1)
     agree = F.when(F.size("p") > 1, agreement(first["description"], second["description"])).otherwise("single")
     out = ranked.select("query", first.alias("a"), second.alias("b"), agree.alias("agreement"), F.array_sort(F.transform("p", lambda x: x["db"])).alias("databases"))
-    nothing = F.lit(None).cast("string")
     description = F.coalesce(F.nullif(F.col("a.description"), F.lit("")), F.lit("hypothetical protein"))
-    category, source = by_evidence(description, nothing, nothing, nothing, nothing, nothing)
+    category, source = by_evidence(description, None, None, None, None, None)
     score = scoring.consensus_score(-F.col("a.s"), F.col("agreement"))
     out = out.select(
         "query", F.col("a.db").alias("primary_source"), F.col("a.target").alias("primary_target"), F.col("a.evalue").alias("primary_evalue"), F.col("a.fident").alias("primary_identity"),
