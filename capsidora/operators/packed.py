@@ -131,7 +131,7 @@ def _anchored(s: str, anchor: str) -> list[str]:
 
 
 def _tail(v: str) -> str:
-    return re.sub(r"(?:\s|[;,|>\"']|(?<=\s)/)+$", "", v)
+    return re.sub(r"(?:\s|[;,|>\"']|(?<=[\s;,|>\"'])/)+$", "", v)
 
 
 def _run(flag: np.ndarray, base: np.ndarray, row: np.ndarray) -> np.ndarray:
@@ -184,6 +184,8 @@ def _block(text: pa.Array, anchor: str | None) -> tuple[np.ndarray, pa.Array]:
         bracket[head[listed]] = bracket[tail[listed]] = True
     else:
         bracket = np.zeros(0, bool)
+    # brackets that don't enclose the text, and quotes that open upon another, are left to the scanner
+    odd |= (rows_with(((b == 91) | (b == 93)) & ~bracket) > 0) | (rows_with(opening & (after == b)) > 0)
     guarded = quoted | deep
     lone = (b == 47) & (_IS_BLANK[before] | _IS_DELIM[before] | _IS_QUOTE[before] | first) & (_IS_BLANK[after] | _IS_DELIM[after] | _IS_QUOTE[after] | last)
     cut = ((_IS_DELIM[b] | lone) & ~guarded) | bracket
@@ -196,6 +198,7 @@ def _block(text: pa.Array, anchor: str | None) -> tuple[np.ndarray, pa.Array]:
         digit = np.r_[b[len(a) :], np.zeros(len(a), np.uint8)][:n]
         at &= (digit >= 48) & (digit <= 57)
         at &= (soft | _IS_QUOTE[before] | (before == 47)) & ~deep
+        odd |= (rows_with(at & (before == 47)) > 0) | (rows_with(doubled) > 0)
         just = np.r_[False, opening[:-1]][:n] & ~first
         at &= ~quoted | just
         starts = np.flatnonzero(at)
@@ -203,6 +206,7 @@ def _block(text: pa.Array, anchor: str | None) -> tuple[np.ndarray, pa.Array]:
         ends = np.minimum(ends, (base + size)[row[starts]]) if len(starts) else ends
         # a quoted value ends where the parity of its quote turns
         shut = np.flatnonzero((dq & in_dq & (after != 34)) | (sq & in_sq & (after != 39)))
+        odd[row[shut[_IS_DELIM[before[shut]] | _IS_QUOTE[before[shut]]]]] = True
         if len(shut) and len(starts):
             nxt = np.searchsorted(shut, starts)
             end_q = shut[np.minimum(nxt, len(shut) - 1)]
