@@ -7,10 +7,6 @@ apart by their own wording.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import ahocorasick
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,7 +65,7 @@ KEYS = "foo bar baz qux test asdf qwer qwerty blah abc xxx lorem dummy hjkl"
 
 #: Errors of servers and programs: headings and reasons; a whole message, or parts of one.
 ERRORS = (
-    r"(?:(?:http )?(?:error|status|code|fehler|erreur|estado|statut) ?:? ?<code>\b.*)|<code>(?: (?:not found|forbidden|bad gateway|bad request|unauthorized|gone|internal server error|service unavailable|gateway time-?out|too many requests|request time-?out|method not allowed).*)?",
+    r"(?:http )?(?:error|status|code|fehler|erreur|estado|statut) ?:? ?<code>(?: (?:not found|forbidden|bad gateway|bad request|unauthorized|gone|internal server error|service unavailable|gateway time-?out|too many requests|request time-?out|method not allowed).*)?|<code> (?:not found|forbidden|bad gateway|bad request|unauthorized|gone|internal server error|service unavailable|gateway time-?out|too many requests|request time-?out|method not allowed).*",
     r"(?:bad gateway|gateway time-?out|internal server error|server error|access denied|permission denied|forbidden|not found|page not found|page unavailable|timeout|timed out|request failed|request timed out|service (?:temporarily )?unavailable|service (?:is )?(?:currently|temporarily) unavailable|oops|something went wrong|unauthorized|bad request|too many requests|application error|database error|connection (?:refused|reset|timed out))",
     r"(?:serverfehler|interner serverfehler|zugriff verweigert|nicht gefunden|seite nicht gefunden|seite nicht verfügbar|zeitüberschreitung|anfrage fehlgeschlagen|verboten|etwas ist schiefgelaufen)",
     r"(?:erreur (?:du |interne du )?serveur|accès refusé|interdit|introuvable|page introuvable|page indisponible|délai dépassé|échec de la requête|requête échouée|une erreur est survenue|service indisponible)",
@@ -127,14 +123,6 @@ ASIDES = (
 )
 #: Documents in which a weak sign must recur.
 RECURRING = 3
-#: Signs of which every rule above needs one, in lower case; a document without any isn't read further.
-SIGNS = (
-    *("{", "[", "<", "%%", "%s", "%d", "%(", "@@", "##", "__", "«", "$(", "todo:", "xxx", "undefined", " to be added", " to be filled", " to be supplied", " to be completed", "compléter", "completar", "ergänz", "einzufügen", "nachzutragen", "tbd", "tba", "tbc", "fixme", "??", "n/a", "---", "...", "***", "___", "===", "item ", "element ", "élément ", "elemento ", "abschnitt ", "sección "),
-    *(" goes here", " comes here", "text here", "title here", "name here", "summary here", "headline here", "description here", "content here", "sample t", "sample c", "placeholder", "dummy", "filler", "example text", "example co", "copy pending", "content pending", "to follow", "coming soon", "text text", "texte texte", "texto texto", "replace th", "be replaced", "text hier", "titel hier", "zusammenfassung hier", "hier steht", "hier kommt", "hier folgt", "blindtext", "platzhalter", "fülltext", "beispieltext", "mustertext", "ersetz", "inhalt folgt", "text folgt", "factice", "d'exemple", "remplissage", "provisoire", "fictif", "temporaire", "remplac", "à venir", "texte ici", "titre ici", "résumé ici", "provisional", "relleno", "de ejemplo", "de muestra", "simulado", "ficticio", "temporal", "sustitu", "reempla", "contenido p", "texto aquí", "título aquí", "resumen aquí", "aquí va", "aquí ir", "aquí vend"),
-    *("lorem", "dolor", "ipsum", "amet", "sagitte", "ultrices", "egesta", "vestrix", "quorsem", "cusare", "nullare", "adipis", "foo", "baz", "qux", "asdf", "qwer", "blah", "abc ", "hjkl"),
-    *("error", "fehler", "erreur", "status", "estado ", "statut", "code 4", "code 5", "code: ", "gateway", "denied", "forbidden", "not found", "unavailable", "timeout", "timed out", "failed", "oops", "went wrong", "unauthorized", "bad request", "many requests", "connection r", "connection t", "verweigert", "nicht gefunden", "nicht verfügbar", "überschreitung", "fehlgeschlagen", "verboten", "schiefgelaufen", "refusé", "interdit", "introuvable", "indisponible", "dépassé", "échec", "échoué", "survenue", "denegado", "prohibido", "no encontrad", "no disponible", "agotado", "fallida", " ido mal", "salió mal", "could not", "couldn't", "can't", "we cannot", "cannot run", "unable to", "maintenance", "wartung", "mantenimiento", "rechazó", "lehnt", "session", "sitzung", "sesión", "log in", "melden sie", "reconnect", "was empty", "war leer", "était vide", "vacía", "exception", "an unexpected p", "an unexpected e", "team has been", "upstream", "proxy", "backend", "anfrage", "requête", "peticion", "petición", "solicitud", "slow down", "account", "permission", "ihr konto", "berechtigung", "votre compte", "le droit", "l'autorisation", "su cuenta", "permiso", "autorización", "acceso", "no longer", "does not exist", "nicht mehr", "n'existe plus", "ya no existe", "without a redirect", "weiterleitung", "redirection", "redirección", "not resolve", "der dienst ", "der vorgelagerte", "der nachgelagerte", "service is", "le service", "servicio", "fatal", "traceback", "panic", "segmentation", "on line ", ", line ", "resource unavailable"),
-    *("javascript", " script", "scripts", "scripting", "skript", "cookie", "browser", "navigateur", "navegador", "robot", "are human", "few seconds", "captcha", "turn it on", "try again", "versuchen sie", "réessay", "inténtelo", "reload", "start page", "help desk", "retry", "startseite", "l'accueil", "inicio", "loading", "recharg", "cargar"),
-)
 
 
 def _any(patterns: tuple[str, ...]) -> str:
@@ -143,8 +131,11 @@ def _any(patterns: tuple[str, ...]) -> str:
 
 _FIELD = _any(FIELDS)
 #: What may follow a message without a stop: a reference, an aside, or signs of other scripts.
-_TAIL = r"(?: (?:\(?0|reference|ref|request|build|vorgang|référence|referencia|try again|retry|contact|please|reload|go back|home|zurück|volver|retour|versuchen|réessayez|inténtelo)\b.*| [^a-zà-ÿ]+)?"
-_WHOLE = rf"(?iu)^(?:{_any(FILLER + ERRORS + NOTICES)}){_TAIL}$"
+_AFTER = r"(?:reference|ref|request|build|vorgang|référence|referencia|try again|retry|contact|please|reload|go back|home|zurück|volver|retour|versuchen|réessayez|inténtelo)\b.*"
+_TAIL = rf"(?: (?:\(?0\b.*|{_AFTER})| [^a-zà-ÿ]+)?"
+#: A status code without a reason, which residue has for a heading; other numbers look the same.
+_BARE = rf"<code>(?: {_AFTER})?"
+_WHOLE = rf"(?iu)^(?:(?:{_any(FILLER + ERRORS + NOTICES)}){_TAIL}|{_BARE})$"
 _PART = rf"(?iu)^(?:{_any(ERRORS + NOTICES)}){_TAIL}$"
 _ASIDE = rf"(?iu)^(?:{_any(ASIDES)})$"
 _LATIN_RUN = rf"(?iu)(?<!\p{{L}})(?:(?:{'|'.join(LATIN.split())})(?!\p{{L}})[\s,.;]*){{5}}"
@@ -152,10 +143,12 @@ _KEY_RUN = rf"(?iu)(?<!\p{{L}})(?:(?:{'|'.join(KEYS.split())})(?!\p{{L}})[\s,.;]
 
 
 def messages(text: Column) -> Column:
-    """The lines and sentences of a text, without tags, bullets and byte-order marks; distinct, not empty."""
-    flat = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, _TAG, "\n"), r"[﻿​­]", ""), _EMPTY_LINES, "xxxx")
+    """The lines and sentences of a text, without tags, bullets and byte-order marks; distinct, not empty. A status code alone stays only where it opens the text."""
+    clean = F.regexp_replace(F.regexp_replace(text, r"[\ufeff\u200b\u00ad]", ""), r"[ \t\u00a0]+", " ")
+    flat = F.regexp_replace(F.regexp_replace(clean, _TAG, "\n"), _EMPTY_LINES, "xxxx")
     parts = F.split(F.regexp_replace(flat, _EMPTY_ITEMS, "placeholder text"), r"(?<=[.!?…])\s+(?!\d)|\s*[\r\n]+\s*|\s+[—|]\s+")
-    return F.array_distinct(F.filter(F.transform(parts, lambda s: F.trim(F.regexp_replace(F.regexp_replace(s, r"[\s ]+", " "), _BULLET, ""))), lambda s: F.length(s) > 1))
+    said = F.filter(F.transform(parts, lambda s: F.trim(F.regexp_replace(F.regexp_replace(s, r"[\s\u00a0]+", " "), _BULLET, ""))), lambda s: F.length(s) > 1)
+    return F.array_distinct(F.filter(said, lambda s, i: (i == 0) | ~s.rlike(r"^[(\s]*[45]\d\d[\s.:!?…)]*$")))
 
 
 def masked(message: Column) -> Column:
@@ -179,17 +172,6 @@ def judged(message: Column, documents: Column) -> Column:
     return field | whole | part | run | aside
 
 
-def with_signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows (id, text) whose text holds one of :data:`SIGNS`, by one pass of an Aho-Corasick automaton over each text."""
-    automaton = ahocorasick.Automaton()
-    for sign in SIGNS:
-        automaton.add_word(sign, 1)
-    automaton.make_automaton()
-    for batch in batches:
-        texts = batch.column(1).to_pylist()
-        yield batch.filter(pa.array([t is not None and next(automaton.iter(t.lower()), None) is not None for t in texts]))
-
-
 def residue_documents(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The ids of documents that hold residue in place of content, each once.
 
@@ -197,7 +179,7 @@ def residue_documents(documents: DataFrame, doc_id: str = "doc_id", text: str =
     once, as their messages are the same. Empty tables give no rows; columns other than the two named aren't read.
     """
     docs = documents.select(F.col(doc_id).alias("d"), F.col(text).cast("string").alias("t")).where("d is not null")
-    keyed = docs.mapInArrow(with_signs, docs.schema).select("d", F.explode(messages(F.col("t"))).alias("m")).select("d", masked(F.col("m")).alias("m")).withColumn("h", F.xxhash64("m"))
+    keyed = docs.select("d", F.explode(messages(F.col("t"))).alias("m")).select("d", masked(F.col("m")).alias("m")).withColumn("h", F.xxhash64("m"))
     groups = keyed.groupBy("h", "m").agg(F.count("*").alias("documents"))
     found = groups.where(judged(F.col("m"), F.col("documents"))).select("h", "m")
     return keyed.join(found, ["h", "m"], "left_semi").select(F.col("d").alias(doc_id)).distinct()

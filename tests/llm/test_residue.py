@@ -1,3 +1,5 @@
+import re
+
 import pytest
 
 from capsidora.llm.residue import LATIN, residue_documents
@@ -34,3 +36,19 @@ def test_empty_and_recurring(spark):
     df = spark.createDataFrame([(i, f"Note {i} on capsids.\nTry again in {i} minutes.") for i in range(4)], "doc_id bigint, text string")
     assert residue_documents(df).count() == 4 and residue_documents(df.where("doc_id < 2")).count() == 0
     assert residue_documents(df.limit(0)).count() == 0
+
+
+#: Wordings of which the rules need no other word, and blanks and signs that don't show.
+PLAIN = [
+    "405 Method Not Allowed", "410 Gone", "504 Gateway Time-out", "Error 503", "HTTP error: 404", "404", "404\nRetry", "Of this gene:\n{0}", "Page not found", "Something went wrong", "Oops", "Slow down", "The database connection was refused", "Este texto se cambiará después.",
+    "Votre compte ne permet pas d'ouvrir cette vue!", "tempor incididunt ut labore et dolore magna aliqua", "augue brantique dictume fauci femper libero malent mollen", "bar test bar test bar",
+]
+NUMBERS = ["The isolate\n507\nwas kept.", "Sequence length: 450", "Positions follow.\n450 12 residues\n409 20 degrees", "Status: 450 entries were checked."]
+UNSEEN = {"as it is": lambda t: t, "double blanks": lambda t: t.replace(" ", "  "), "no-break": lambda t: t.replace(" ", "\u00a0"), "soft hyphens": lambda t: re.sub(r"(?<![^\W\d_])([^\W\d_]{2})(?=[^\W\d_]{3})", "\\1\u00ad", t), "zero width": lambda t: "\ufeff" + t.replace(" ", " \u200b")}
+
+
+def test_blanks_and_unseen_signs(spark):
+    texts = [(how, bad, t, change(t)) for how, change in UNSEEN.items() for bad, t in [*((True, t) for t in BAD + PLAIN), *((False, t) for t in GOOD + NUMBERS)]]
+    df = spark.createDataFrame([(i, t) for i, (*_, t) in enumerate(texts)], "doc_id bigint, text string")
+    found = {r.doc_id for r in residue_documents(df).collect()}
+    assert [texts[i][:3] for i in range(len(texts)) if texts[i][1] != (i in found)] == []
