@@ -6,6 +6,9 @@ leading digit meet in one task, sorted; there the order is cut into blocks of at
 strings share the fewest digits. A block is thus the longest prefix with few enough strings, or, where a prefix holds few,
 the ascent to the shorter prefixes around it, until there are enough candidates. All pairs within a block are compared; the
 best of all trees are merged. Equal vectors are one class, so copies don't crowd a block.
+
+A dense cluster writes one string. Strings that hold more than half a block are found on a sample and lengthened by digits of
+the residual from their mean, twice if need be; what is still equal is ordered by a random projection of each tree.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ BLOCK, DIGITS, CLOSE = 4096, 4, 12
 TREES = 12
 #: Vectors on which leading digits are counted, to part those that hold more than ``HOT`` blocks by their second digit.
 SAMPLE, HOT = 20_000, 64
+#: Times that a crowded string is lengthened by ``DIGITS`` digits of residuals; seven bits a digit, in one bigint.
+LEVELS = 2
 _RUN = 32
 
 
@@ -52,12 +57,52 @@ def vectors(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, SIDE)
 
 
-def cuts(hashes: np.ndarray, most: int) -> list[int]:
+def text(x: np.ndarray, turn: np.ndarray) -> np.ndarray:
+    h = np.zeros(len(x), np.int64)
+    for rotation in turn:
+        h = h << 7 | digits(x, rotation)
+    return h
+
+
+def lengthened(x: np.ndarray, h: np.ndarray, centres: list[tuple[np.ndarray, np.ndarray]], turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The further digits of strings that are crowded (0 for others), and what is left of each vector; ``centres`` has the crowded strings of each level and their means."""
+    more, rest = np.zeros(len(x), np.int64), x.copy()
+    for level, (crowded, means) in enumerate(centres):
+        name = h << 7 * DIGITS * level | more >> 7 * DIGITS * (LEVELS - level)
+        at = np.minimum(np.searchsorted(crowded, name), len(crowded) - 1)
+        inside = np.flatnonzero(crowded[at] == name)
+        rest[inside] = x[inside] - means[at[inside]]
+        more[inside] |= text(rest[inside].astype(np.float32), turn[DIGITS * level :][:DIGITS]) << 7 * DIGITS * (LEVELS - 1 - level)
+    return more, rest
+
+
+def crowds(x: np.ndarray, tree: int, most: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of a tree, the strings that more than ``most`` rows of a sample share, with their means; again for the lengthened strings."""
+    turn = rotations(tree, DIGITS * (1 + LEVELS))
+    first = digits(x.astype(np.float32), turn[0])
+    x = x[np.bincount(first, minlength=2 * SIDE)[first] > most]
+    h, out = text(x.astype(np.float32), turn[:DIGITS]), []
+    for level in range(LEVELS):
+        more, _ = lengthened(x, h, out, turn[DIGITS:])
+        names, of, count = np.unique(h << 7 * DIGITS * level | more >> 7 * DIGITS * (LEVELS - level), return_inverse=True, return_counts=True)
+        many = np.flatnonzero(count > most)
+        if not len(many):
+            break
+        out.append((names[many], np.stack([x[of == i].mean(0) for i in many])))
+    return out
+
+
+def cuts(hashes: np.ndarray, most: int, more: np.ndarray | None = None) -> list[int]:
     """Where a sorted run of strings is cut, so that no part exceeds ``most``: within a part's second half, at the place where neighbours share the fewest digits."""
     shared = np.zeros(max(0, len(hashes) - 1), np.int8)
     for k in range(1, DIGITS + 1):
         part = hashes >> (7 * (DIGITS - k))
         shared += part[1:] == part[:-1]
+    if more is not None:
+        same = hashes[1:] == hashes[:-1]
+        for k in range(1, LEVELS * DIGITS + 1):
+            part = more >> (7 * (LEVELS * DIGITS - k))
+            shared += same & (part[1:] == part[:-1])
     out, at = [], 0
     while len(hashes) - at > most:
         half = shared[at + most // 2 - 1 : at + most]
@@ -108,9 +153,12 @@ def _nearest_classes(classes: DataFrame, n: int, k: int) -> DataFrame:
     trees = _trees(n)
     sample = classes.where(F.pmod(F.xxhash64("id"), F.lit(max(1, n // SAMPLE))) == 0).select("v").limit(SAMPLE).toPandas()
     hot: set[int] = set()
+    centres: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(trees)]
     if len(sample):
-        x = unit(np.frombuffer(b"".join(map(bytes, sample.v)), np.float32).reshape(-1, SIDE)).astype(np.float32)
+        exact = unit(np.frombuffer(b"".join(map(bytes, sample.v)), np.float32).reshape(-1, SIDE))
+        x = exact.astype(np.float32)
         for t in range(trees):
+            centres[t] = crowds(exact, t, max(3.0, BLOCK / 2 * len(x) / n))
             count = np.bincount(digits(x, rotations(t, 1)[0]), minlength=2 * SIDE)
             hot |= {t * 2 * SIDE + d for d in np.flatnonzero(count * (n / len(x)) > HOT * BLOCK).tolist()}
     crowded = np.array(sorted(hot), np.int64)
@@ -119,19 +167,21 @@ def _nearest_classes(classes: DataFrame, n: int, k: int) -> DataFrame:
     coarse = min(7, coarse)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = [rotations(t, DIGITS) for t in range(trees)]
+        turn = [rotations(t, DIGITS * (1 + len(centres[t]))) for t in range(trees)]
+        across = [np.random.default_rng([12, t]).normal(size=SIDE) for t in range(trees)]
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = unit(vectors(batch.column(1))).astype(np.float32)
+            exact = unit(vectors(batch.column(1)))
+            x = exact.astype(np.float32)
             for t in range(trees):
-                d = [digits(x, r) for r in turn[t]]
-                h = np.zeros(len(x), np.int64)
-                for one in d:
-                    h = h << 7 | one
-                key = t * 2 * SIDE + d[0]
-                key = np.where(np.isin(key, crowded), (key + 1) << 32 | d[1], key >> coarse)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(key), pa.array(h), *batch.columns], names=["t", "key", "h", "id", "v"])
+                h = text(x, turn[t][:DIGITS])
+                more, rest = lengthened(exact, h, centres[t], turn[t][DIGITS:])
+                lead, second = h >> 7 * (DIGITS - 1), h >> 7 * (DIGITS - 2) & 127
+                key = t * 2 * SIDE + lead
+                # the digits of residuals part crowded strings further; they are 0 elsewhere
+                key = np.where(np.isin(key, crowded), (key + 1) << 32 | second << 7 | more >> 7 * (LEVELS * DIGITS - 1), key >> coarse)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(key), pa.array(h), pa.array(more), pa.array(rest @ across[t]), *batch.columns], names=["t", "key", "h", "more", "across", "id", "v"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -143,10 +193,10 @@ def _nearest_classes(classes: DataFrame, n: int, k: int) -> DataFrame:
             held, count = [], 0
             if whole is None:
                 return
-            tree, h = whole["t"].to_numpy(), whole["h"].to_numpy()
+            tree, h, more = whole["t"].to_numpy(), whole["h"].to_numpy(), whole["more"].to_numpy()
             bounds = [0, *(np.flatnonzero(tree[1:] != tree[:-1]) + 1).tolist(), len(tree)]
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                edges = [a, *(a + c for c in cuts(h[a:b], BLOCK)), b]
+                edges = [a, *(a + c for c in cuts(h[a:b], BLOCK, more[a:b])), b]
                 if b == len(tree) and not last:
                     rest = whole.slice(edges[-2])
                     held, count = rest.to_batches(), len(rest)
@@ -181,7 +231,7 @@ def _nearest_classes(classes: DataFrame, n: int, k: int) -> DataFrame:
             yield _merged(carried, k)
 
     parts = max(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), ceil(n * trees / 200_000))
-    strings = classes.mapInArrow(write, "t int, key bigint, h bigint, id bigint, v binary").repartition(parts, "t", "key").sortWithinPartitions("t", "h", "id")
+    strings = classes.mapInArrow(write, "t int, key bigint, h bigint, more bigint, across double, id bigint, v binary").repartition(parts, "t", "key").sortWithinPartitions("t", "h", "more", "across", "id")
     found = strings.mapInArrow(compare, "id bigint, ids array<bigint>, cosines array<double>")
     return found.repartition(parts, "id").sortWithinPartitions("id").mapInArrow(merge, found.schema)
 

@@ -41,3 +41,16 @@ def test_recall(spark, monkeypatch):
 def test_cuts():
     h = np.sort(np.r_[np.full(50, 1 << 21), np.full(50, 2 << 21), np.full(90, 3 << 21)])
     assert nb.cuts(h, 100) == [100] and nb.cuts(h[:100], 100) == []
+
+
+def test_recall_in_a_dense_cluster(spark, monkeypatch):
+    monkeypatch.setattr(nb, "BLOCK", 256)
+    rng = np.random.default_rng(7)
+    centre = rng.normal(size=64)
+    x = np.concatenate([centre / np.linalg.norm(centre) + 0.00625 * rng.normal(size=(1500, 64)), rng.normal(size=(3000, 64))]).astype(np.float32)
+    names = [(f"p{i:04d}", "a") for i in rng.permutation(len(x))]
+    df = spark.createDataFrame([(*n, v.tolist()) for n, v in zip(names, x, strict=True)], "protein_id string, source_db string, embedding array<float>")
+    dense = set(names[:1500])
+    want = {k: v for k, v in brute(names, x).items() if k[0] in dense}
+    got = {((r.protein_id, r.source_db), r.nb_protein_id, r.nb_source_db) for r in nb.nearest_vectors(df).collect()}
+    assert sum((k[0], *v) in got for k, v in want.items()) >= 0.95 * len(want)
