@@ -25,7 +25,9 @@ def test_small_tables_are_exact(spark):
 
 
 def test_recall(spark, monkeypatch):
-    monkeypatch.setattr(nb, "BLOCK", 256)
+    monkeypatch.setattr(nb, "TREES", 16)
+    monkeypatch.setattr(nb, "CANDIDATES", 1600)
+    monkeypatch.setattr(nb, "PART", 1500)
     rng = np.random.default_rng(5)
     centre = rng.normal(size=(150, 64))
     x = np.concatenate([centre.repeat(8, 0) + 0.4 * rng.normal(size=(1200, 64)), rng.normal(size=(800, 64))]).astype(np.float32)
@@ -40,11 +42,26 @@ def test_recall(spark, monkeypatch):
 
 def test_cuts():
     h = np.sort(np.r_[np.full(50, 1 << 21), np.full(50, 2 << 21), np.full(90, 3 << 21)])
-    assert nb.cuts(h, 100) == [100] and nb.cuts(h[:100], 100) == []
+    shared = nb.shared_digits(h, np.zeros(len(h), np.int64))
+    assert nb.cuts(shared, 100) == [100] and nb.cuts(shared[:99], 100) == []
+
+
+def test_ascents_go_in_step():
+    # three trees; counts fall from the root to the full string
+    one = np.array([100, 40, 10, 5, 5, 5, 5], np.uint16)
+    counts = np.broadcast_to(one, (3, 2, 7)).copy()
+    for enough in (1, 15, 16, 35, 60, 120, 121, 300, 301):
+        stop = nb.ascents(counts, np.array([0, 1]), enough)
+        met = one[stop].sum(0).astype(int)
+        assert (stop.max(0) - stop.min(0) <= 1).all() and ((met >= enough) | (stop == 0).all(0)).all()
+        assert (met - enough < 60).all() or enough < 15
+    assert (nb.ascents(counts, np.array([0, 1]), 20)[:, 0] != nb.ascents(counts, np.array([0, 1]), 20)[:, 1]).any()
 
 
 def test_recall_in_a_dense_cluster(spark, monkeypatch):
-    monkeypatch.setattr(nb, "BLOCK", 256)
+    monkeypatch.setattr(nb, "TREES", 16)
+    monkeypatch.setattr(nb, "CANDIDATES", 1600)
+    monkeypatch.setattr(nb, "PART", 1500)
     rng = np.random.default_rng(7)
     centre = rng.normal(size=64)
     x = np.concatenate([centre / np.linalg.norm(centre) + 0.00625 * rng.normal(size=(1500, 64)), rng.normal(size=(3000, 64))]).astype(np.float32)
