@@ -165,23 +165,27 @@ def ascents(counts: np.ndarray, ids: np.ndarray, enough: int) -> np.ndarray:
     return out
 
 
-def floors(fast: np.ndarray, ids: np.ndarray, sample: np.ndarray, sample_ids: np.ndarray, k: int) -> np.ndarray:
-    """A cosine that the ``k`` nearest of each row surely reach: that of the k-th nearest in the sample, less what single precision may err."""
+def floors(fast: np.ndarray, ids: np.ndarray, sample: np.ndarray, sample_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A cosine that the ``k`` nearest of each row surely reach, being reached by ``k`` members of the sample; with the pairs of rows and members that reach it."""
     out = np.full(len(fast), -2.0, np.float32)
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     n = len(sample) // _RUN * _RUN
-    if n < (k + 1) * _RUN:
-        return out
-    order = np.argsort(sample_ids[:n])
-    at = order[np.minimum(np.searchsorted(sample_ids[order], ids), n - 1)]
-    itself = np.flatnonzero(sample_ids[at] == ids)
-    for a in range(0, len(fast), 1024):
-        g = fast[a : a + 1024] @ sample[:n].T
-        own = itself[(itself >= a) & (itself < a + 1024)]
-        g[own - a, at[own]] = -2.0
-        # the k-th largest of the greatest values of disjoint parts can't exceed the k-th largest value
-        most = g.reshape(len(g), _RUN, -1).max(1)
-        out[a : a + 1024] = np.partition(most, most.shape[1] - k, axis=1)[:, most.shape[1] - k]
-    return out - MARGIN
+    if n >= (k + 1) * _RUN:
+        order = np.argsort(sample_ids[:n])
+        at = order[np.minimum(np.searchsorted(sample_ids[order], ids), n - 1)]
+        itself = np.flatnonzero(sample_ids[at] == ids)
+        for a in range(0, len(fast), 1024):
+            g = fast[a : a + 1024] @ sample[:n].T
+            own = itself[(itself >= a) & (itself < a + 1024)]
+            g[own - a, at[own]] = -2.0
+            # the k-th largest of the greatest values of disjoint parts can't exceed the k-th largest value
+            most = g.reshape(len(g), _RUN, -1).max(1)
+            floor = np.partition(most, most.shape[1] - k, axis=1)[:, most.shape[1] - k] - MARGIN
+            out[a : a + 1024] = floor
+            near = np.flatnonzero(g >= floor[:, None])
+            left.append(a + near // n)
+            right.append(near % n)
+    return out, np.concatenate(left), np.concatenate(right)
 
 
 def close_pairs(fast: np.ndarray, rows: np.ndarray, lo: int, hi: int, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -203,11 +207,11 @@ def close_pairs(fast: np.ndarray, rows: np.ndarray, lo: int, hi: int, floor: np.
     return np.concatenate(left), np.concatenate(right)
 
 
-def cosines(exact: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Cosines in 10**-9, rounded."""
+def cosines(a: np.ndarray, left: np.ndarray, b: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Cosines of rows of ``a`` and ``b`` in 10**-9, rounded."""
     out = np.empty(len(left), np.int32)
-    for a in range(0, len(left), 1 << 14):
-        out[a : a + (1 << 14)] = np.rint(np.round(np.einsum("rd,rd->r", exact[left[a : a + (1 << 14)]], exact[right[a : a + (1 << 14)]]), 9) * 1e9)
+    for i in range(0, len(left), 1 << 14):
+        out[i : i + (1 << 14)] = np.rint(np.round(np.einsum("rd,rd->r", a[left[i : i + (1 << 14)]], b[right[i : i + (1 << 14)]]), 9) * 1e9)
     return out
 
 
@@ -308,9 +312,10 @@ def _nearest_classes(classes: DataFrame, n: int, k: int) -> DataFrame:
     sample = classes.where(F.pmod(F.xxhash64("id"), F.lit(max(1, n // SAMPLE))) == 0).limit(SAMPLE).toPandas()
     known = unit(np.frombuffer(b"".join(map(bytes, sample.v)), np.float32).reshape(-1, SIDE)) if len(sample) else np.zeros((0, SIDE))
     forest = Forest(known, n)
-    near_ids, near_known = sample.id.to_numpy()[:FLOOR_SAMPLE], known[:FLOOR_SAMPLE].astype(np.float32)
+    near_ids, near_known = sample.id.to_numpy()[:FLOOR_SAMPLE], known[:FLOOR_SAMPLE]
     blocks = max(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), ceil(n / PART))
     block = max(1, ceil(n / blocks))
+    arrays = forest.trees * forest.parts
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, v in _packs(batches):
@@ -348,7 +353,9 @@ def _nearest_classes(classes: DataFrame, n: int, k: int) -> DataFrame:
             ids = target * block + np.arange(size)
             stop = ascents(met, ids, forest.enough)
             exact = unit(v)
-            floor = floors(exact.astype(np.float32), ids, near_known, near_ids, k)
+            floor, left, right = floors(exact.astype(np.float32), ids, near_known.astype(np.float32), near_ids, k)
+            # neighbours in the sample are results, too; they go the way of the vectors
+            yield _rows([(target % arrays, -1, ids[left].tobytes(), cosines(exact, left, near_known, right).tobytes(), near_ids[right].tobytes())])
             for t in range(forest.trees):
                 place = exact @ forest.across[t]
                 to = t * forest.parts + forest.part(t, h[t], more[t], place)
@@ -358,6 +365,13 @@ def _nearest_classes(classes: DataFrame, n: int, k: int) -> DataFrame:
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = np.dtype([("place", np.float64), ("floor", np.float32), ("stop", np.uint8)])
         for _, rows in _targets(batches):
+            for r in rows:
+                if r["tree"] < 0:
+                    q = np.frombuffer(r["ids"], np.int64)
+                    yield _rows([(to, 0, *rest) for to, *rest in _split(q // block, q, np.frombuffer(r["h"], np.int32), np.frombuffer(r["more"], np.int64))])
+            rows = [r for r in rows if r["tree"] >= 0]
+            if not rows:
+                continue
             ids, h, more, extra, v = (_joined(rows, c, d) for c, d in (("ids", np.int64), ("h", np.int32), ("more", np.int64), ("extra", kind), ("v", np.float32)))
             order = np.lexsort((extra["place"], more, h))
             ids, stop, floor, exact = ids[order], extra["stop"][order], extra["floor"][order], unit(v.reshape(-1, SIDE)[order])
@@ -370,13 +384,12 @@ def _nearest_classes(classes: DataFrame, n: int, k: int) -> DataFrame:
             pairs = [close_pairs(fast, by[a:b], int(lo[by[a]]), int(hi[by[a]]), floor, k) for a, b in zip(first, np.r_[first[1:], len(ids)], strict=True)]
             left, right = (np.concatenate(x) for x in zip(*pairs, strict=True))
             q = ids[left]
-            yield _rows([(to, 0, *rest) for to, *rest in _split(q // block, q, cosines(exact, left, right), ids[right])])
+            yield _rows([(to, 0, *rest) for to, *rest in _split(q // block, q, cosines(exact, left, exact, right), ids[right])])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _targets(batches):
             yield _merged(_joined(rows, "ids", np.int64), _joined(rows, "more", np.int64), _joined(rows, "h", np.int32), k)
 
-    arrays = forest.trees * forest.parts
     met = classes.mapInArrow(write, _PACKED).repartitionById(arrays, F.col("target")).mapInArrow(count, _PACKED)
     asked = met.unionByName(classes.mapInArrow(keep, _PACKED)).repartitionById(blocks, F.col("target")).mapInArrow(ascend, _PACKED)
     found = asked.repartitionById(arrays, F.col("target")).mapInArrow(compare, _PACKED)
