@@ -10,13 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from capsidora.session import small_side
+from capsidora.session import settle, small_side
 
 #: Bins in which the accepted part of the hash range is counted; ranking touches one of them per category.
 BINS = 4096
 #: Standard deviations by which acceptance exceeds the wanted number.
 OVERSAMPLE = 6.0
-_RANGE = float(1 << 53)
+_RANGE = float(1 << 52)
 
 
 def category_key(c: Column) -> Column:
@@ -25,46 +25,61 @@ def category_key(c: Column) -> Column:
     return F.when(F.coalesce(key, F.lit("")) == "", "unknown").otherwise(key)
 
 
+def spin(*parts: Column, seed: int) -> Column:
+    """A number from 0 to below 1 that depends on the parts alone: the first 52 bits of a digest."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *parts))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / _RANGE
+
+
 def draw(records: DataFrame, targets: DataFrame, seed: int = 17) -> tuple[DataFrame, DataFrame]:
     """A sample and its report.
 
     ``records``: record_set, record_id, category, each record once. ``targets``: record_set, category, target_share,
     min_rows, sample_size. The sample has the columns of ``records``, the category spelt as in ``targets``. The report has a
     row per target: record_set, category, wanted, observed, taken, deficit. Wanted is the greater of min_rows and
-    target_share x sample_size rounded half up; null parts count as 0. Of a category with fewer records than wanted all are
-    taken, and the rest is its deficit. Records with a null id or set take no part; a category without a target gives no
-    sample rows. Empty records make every target fall short; empty targets give an empty sample and report.
+    target_share x sample_size rounded half up; null parts count as 0. Taken is counted in the drawn sample, and the deficit is
+    what it lacks. Of a category with fewer records than wanted all are taken. Records with a null id or set take no part; a
+    category without a target gives no sample rows; targets that name one category in two spellings count once, with the
+    greater number. Empty records make every target fall short; empty targets give an empty sample and report.
+
+    ``records`` is read once: its keys and hashes are written to the shared folder, and so are the accepted ones.
     """
-    wants = targets.select(
+    wants = targets.where("record_set is not null").select(
         "record_set",
         F.col("category").alias("spelling"),
         category_key(F.col("category")).alias("key"),
         F.greatest(F.coalesce(F.col("min_rows").cast("long"), F.lit(0)), F.floor(F.coalesce(F.col("target_share").cast("double"), F.lit(0.0)) * F.coalesce(F.col("sample_size").cast("long"), F.lit(0)) + 0.5)).alias("wanted"),
-    ).where("record_set is not null")
-    keyed = records.where("record_set is not null and record_id is not null").select("record_set", "record_id", category_key(F.col("category")).alias("key"))
-    observed = keyed.groupBy("record_set", "key").agg(F.count("*").alias("observed"))
-    plan = wants.join(observed, ["record_set", "key"], "left").select("record_set", "key", "spelling", "wanted", F.coalesce("observed", F.lit(0)).alias("observed"))
-    report = plan.select("record_set", F.col("spelling").alias("category"), "wanted", "observed", F.least("wanted", "observed").alias("taken"), F.greatest(F.col("wanted") - F.col("observed"), F.lit(0)).alias("deficit"))
-
+    )
+    wants = wants.groupBy("record_set", "key").agg(F.min("spelling").alias("spelling"), F.max("wanted").alias("wanted"))
+    by = ["record_set", "key"]
+    keyed = records.where("record_set is not null and record_id is not null").select("record_set", F.col("record_id").cast("string").alias("record_id"), category_key(F.col("category")).alias("key"))
+    keyed = settle(keyed.withColumn("spin", spin(F.col("record_set"), F.col("record_id"), seed=seed)), "records")
+    observed = keyed.groupBy(*by).agg(F.count("*").alias("observed"))
+    plan = wants.join(observed, by, "left").withColumn("observed", F.coalesce("observed", F.lit(0)))
     aim = F.col("wanted") + OVERSAMPLE * F.sqrt("wanted") + OVERSAMPLE * OVERSAMPLE
-    rate = F.when(F.col("observed") <= aim, 1.0).otherwise(aim / F.col("observed"))
-    plan = plan.withColumn("rate", rate)
-    spin = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("record_set"), F.col("record_id")), 11) / _RANGE
-    marked = keyed.withColumn("spin", spin).join(small_side(plan), ["record_set", "key"])
-    accepted = marked.where("spin < rate")
-
-    # too few accepted by chance (about once in 10^9 categories): such a category is accepted whole
-    got = accepted.groupBy("record_set", "key").agg(F.count("*").alias("got"))
-    short = plan.join(got, ["record_set", "key"], "left").where("coalesce(got, 0) < least(wanted, observed)").select("record_set", "key", F.lit(1.0).alias("whole"))
-    accepted = marked.join(small_side(short), ["record_set", "key"], "left").where("spin < coalesce(whole, rate)").withColumn("rate", F.coalesce("whole", "rate"))
-
-    binned = accepted.withColumn("bin", F.least(F.floor(F.col("spin") / F.col("rate") * BINS), F.lit(BINS - 1)))
-    counts = binned.groupBy("record_set", "key", "bin").agg(F.count("*").alias("n"), F.first("wanted").alias("wanted"))
-    upto = Window.partitionBy("record_set", "key").orderBy("bin")
-    running = counts.withColumn("before", F.sum("n").over(upto.rowsBetween(Window.unboundedPreceding, -1))).fillna(0, ["before"])
-    cut = running.where("before < wanted").select("record_set", "key", "bin", (F.col("wanted") - F.col("before")).alias("room"), "n")
-    placed = binned.join(small_side(cut), ["record_set", "key", "bin"])
-    inside = placed.where("n <= room")
-    ranked = placed.where("n > room").withColumn("r", F.row_number().over(Window.partitionBy("record_set", "key").orderBy("spin", "record_id")))
-    sample = inside.select("record_set", "record_id", F.col("spelling").alias("category")).unionByName(ranked.where("r <= room").select("record_set", "record_id", F.col("spelling").alias("category")))
-    return sample, report
+    plan = settle(plan.withColumn("rate", F.when(F.col("observed") <= aim, 1.0).otherwise(aim / F.col("observed"))), "targets")
+
+    accepted, counts = _accept(keyed, plan)
+    got = counts.groupBy(*by).agg(F.sum("n").alias("got"))
+    short = plan.join(got, by, "left").where("coalesce(got, 0) < least(wanted, observed)").select(*by, F.lit(1.0).alias("whole"))
+    if not short.isEmpty():  # too few accepted by chance (about once in 10^9 categories): such a category is accepted whole
+        plan = settle(plan.join(short, by, "left").withColumn("rate", F.coalesce("whole", "rate")).drop("whole"), "targets")
+        accepted, counts = _accept(keyed, plan)
+
+    upto = Window.partitionBy(*by).orderBy("bin")
+    running = counts.withColumn("before", F.coalesce(F.sum("n").over(upto.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    cut = running.join(plan.select(*by, "spelling", "wanted"), by).where("before < wanted").select(*by, "bin", "spelling", (F.col("wanted") - F.col("before")).alias("room"), "n")
+    placed = accepted.join(small_side(settle(cut, "cuts")), [*by, "bin"])
+    ranked = placed.where("n > room").withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("spin", "record_id"))).where("r <= room")
+    sample = placed.where("n <= room").select("record_set", "record_id", F.col("spelling").alias("category")).unionByName(ranked.select("record_set", "record_id", F.col("spelling").alias("category")))
+
+    taken = sample.groupBy("record_set", "category").agg(F.count("*").alias("taken"))
+    report = plan.select("record_set", F.col("spelling").alias("category"), "wanted", "observed").join(taken, ["record_set", "category"], "left").withColumn("taken", F.coalesce("taken", F.lit(0)))
+    return sample, report.withColumn("deficit", F.col("wanted") - F.col("taken"))
+
+
+def _accept(keyed: DataFrame, plan: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The accepted records with the bin of their hash, and the number of records of each bin."""
+    accepted = keyed.join(small_side(plan.select("record_set", "key", "rate")), ["record_set", "key"]).where("spin < rate")
+    accepted = settle(accepted.withColumn("bin", F.least(F.floor(F.col("spin") / F.col("rate") * BINS), F.lit(BINS - 1))).drop("rate"), "accepted")
+    return accepted, accepted.groupBy("record_set", "key", "bin").agg(F.count("*").alias("n"))
