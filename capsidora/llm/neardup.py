@@ -4,7 +4,10 @@ Equal texts are one class, so copies cost nothing but their membership. Each cla
 MinHash values; classes that share a key are a candidate pair. ``FRESH`` further values, not used for the keys, are
 compared eight at a time: with a uniform prior the posterior probability that the similarity reaches the threshold,
 given m agreements among n, is P(Bin(n + 1, threshold) <= m); a pair is dropped when it falls below ``TOLERANCE``.
-What remains is verified on the piece sets themselves.
+Only then are the texts of the remaining pairs fetched and verified on the piece sets themselves.
+
+Groups don't need all pairs: each class is first compared with the first class of each of its buckets, so that a family of
+any size costs a pair a member and bucket; what these links leave apart within a bucket is then compared in full.
 """
 
 from __future__ import annotations
@@ -111,20 +114,11 @@ def letters(c: Column) -> Column:
     return F.upper(F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), "[^A-Za-z]", ""))
 
 
-def near_duplicates(records: DataFrame, record_id: str, sequence: str, threshold: float = 0.5, tolerance: float = TOLERANCE) -> tuple[DataFrame, DataFrame]:
-    """Membership (record_id, class_id) and pairs of classes (class_a, class_b, similarity) at or above ``threshold``.
-
-    Of a sequence only the letters count, in upper case; its pieces are its distinct runs of five letters, and the
-    similarity of two is the share of common ones among all distinct ones. Records with equal sequences are one class; a
-    record that comes several times counts once, with its greatest sequence. Records with a null id, and those with fewer
-    than five letters (null and empty ones too), have no class. Empty tables give empty results; other columns aren't read.
-    A pair at the threshold itself is missed with probability (1 - threshold**WIDTH)**BANDS, 0.0002 at one half, and less
-    above it. No bucket is capped: hot ones are split by the adaptive skew join.
-    """
+def _signed(records: DataFrame, record_id: str, sequence: str) -> tuple[DataFrame, DataFrame]:
+    """Membership (record_id, class_id), and classes with text, fresh values and bucket keys."""
     once = records.select(F.col(record_id).cast("string").alias("record_id"), letters(F.col(sequence)).alias("s")).where("record_id is not null")
     once = once.groupBy("record_id").agg(F.max("s").alias("s")).where(F.length("s") >= PIECE)
     once = settle(once.withColumn("class_id", F.unhex(F.md5("s"))), "sequences")
-    membership = once.select("record_id", "class_id")
     classes = once.groupBy("class_id").agg(F.first("s").alias("s"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,29 +133,51 @@ def near_duplicates(records: DataFrame, record_id: str, sequence: str, threshold
                 yield pa.RecordBatch.from_arrays([part.column(0), s, pa.array([r.tobytes() for r in fresh], pa.binary()), lists], names=["class_id", "s", "fresh", "keys"])
 
     signed = settle(classes.mapInArrow(sign, "class_id binary, s string, fresh binary, keys array<bigint>"), "signatures")
-    banded = signed.select(F.explode("keys").alias("k"), "class_id")
-    pairs = banded.alias("x").join(banded.alias("y"), (F.col("x.k") == F.col("y.k")) & (F.col("x.class_id") < F.col("y.class_id")))
-    pairs = pairs.select(F.col("x.class_id").alias("class_a"), F.col("y.class_id").alias("class_b")).distinct()
-    text = signed.select("class_id", "s", "fresh")
-    left = text.select(F.col("class_id").alias("class_a"), F.col("s").alias("s_a"), F.col("fresh").alias("f_a"))
-    right = text.select(F.col("class_id").alias("class_b"), F.col("s").alias("s_b"), F.col("fresh").alias("f_b"))
+    return once.select("record_id", "class_id"), signed
+
+
+def _verified(pairs: DataFrame, signed: DataFrame, threshold: float, tolerance: float) -> DataFrame:
+    """Of candidate pairs (class_a, class_b) those at or above the threshold, with their similarity."""
     least = fewest_agreements(threshold, tolerance)
 
+    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, FRESH) for i in (2, 3))
+                stay = pa.array(likely(a, b, least))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(stay), batch.column(1).take(stay)], names=["class_a", "class_b"])
+
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, BLOCK_ROWS):
                 part = batch.slice(at, BLOCK_ROWS)
-                c = {n: part.column(i) for i, n in enumerate(part.schema.names)}
-                a, b = (np.array([np.frombuffer(v, np.uint16) for v in c[n].to_pylist()]) for n in ("f_a", "f_b"))
-                stay = pa.array(likely(a, b, least))
-                if len(stay):
-                    common, total = common_share(c["s_a"].take(stay), c["s_b"].take(stay))
-                    good = common >= threshold * total
-                    own = stay.filter(pa.array(good))
-                    yield pa.RecordBatch.from_arrays([c["class_a"].take(own), c["class_b"].take(own), pa.array(common[good] / total[good])], names=["class_a", "class_b", "similarity"])
+                common, total = common_share(part.column(2), part.column(3))
+                good = common >= threshold * total
+                own = pa.array(good)
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(own), part.column(1).filter(own), pa.array(common[good] / total[good])], names=["class_a", "class_b", "similarity"])
 
-    checked = pairs.join(left, "class_a").join(right, "class_b").mapInArrow(verify, "class_a binary, class_b binary, similarity double")
-    return membership, checked
+    for column, work, kinds in (("fresh", prune, "class_a binary, class_b binary"), ("s", verify, "class_a binary, class_b binary, similarity double")):
+        left = signed.select(F.col("class_id").alias("class_a"), F.col(column).alias("x"))
+        right = signed.select(F.col("class_id").alias("class_b"), F.col(column).alias("y"))
+        pairs = pairs.join(left, "class_a").join(right, "class_b").select("class_a", "class_b", "x", "y").mapInArrow(work, kinds)
+    return pairs
+
+
+def near_duplicates(records: DataFrame, record_id: str, sequence: str, threshold: float = 0.5, tolerance: float = TOLERANCE) -> tuple[DataFrame, DataFrame]:
+    """Membership (record_id, class_id) and pairs of classes (class_a, class_b, similarity) at or above ``threshold``.
+
+    Of a sequence only the letters count, in upper case; its pieces are its distinct runs of five letters, and the
+    similarity of two is the share of common ones among all distinct ones. Records with equal sequences are one class; a
+    record that comes several times counts once, with its greatest sequence. Records with a null id, and those with fewer
+    than five letters (null and empty ones too), have no class. Empty tables give empty results; other columns aren't read.
+    A pair at the threshold itself is missed with probability (1 - threshold**WIDTH)**BANDS, 0.0002 at one half, and less
+    above it. No bucket is capped: hot ones are split by the adaptive skew join.
+    """
+    membership, signed = _signed(records, record_id, sequence)
+    banded = signed.select(F.explode("keys").alias("k"), "class_id")
+    pairs = banded.alias("x").join(banded.alias("y"), (F.col("x.k") == F.col("y.k")) & (F.col("x.class_id") < F.col("y.class_id")))
+    pairs = pairs.select(F.col("x.class_id").alias("class_a"), F.col("y.class_id").alias("class_b")).distinct()
+    return membership, _verified(pairs, signed, threshold, tolerance)
 
 
 def record_pairs(membership: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -173,28 +189,46 @@ def record_pairs(membership: DataFrame, pairs: DataFrame) -> DataFrame:
     return across.unionByName(copies)
 
 
-def groups(membership: DataFrame, pairs: DataFrame) -> DataFrame:
-    """One row per record: record_id, group_id (the smallest record of its group) and links (its class's number of pairs).
+def components(links: DataFrame) -> DataFrame:
+    """node, root: the smallest node of the component of each node of ``links`` (a, b), by alternating large-star and small-star steps.
 
-    Groups are the connected components of the pairs, by alternating large-star and small-star steps over the links
-    alone, which are written to the shared folder after each step; no node's links are gathered beyond a minimum.
+    The links are written to the shared folder after each step; no node's links are gathered beyond a minimum.
     """
-    names = membership.groupBy("class_id").agg(F.min("record_id").alias("name"))
-    ends = pairs.select("class_a", "class_b")
-    links = ends.join(names.toDF("class_a", "a"), "class_a").join(names.toDF("class_b", "b"), "class_b").select("a", "b")
-    degree = links.select(F.explode(F.array("a", "b")).alias("name")).groupBy("name").agg(F.count("*").alias("links"))
-    edges = settle(links.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "links")
+    edges = settle(links.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "links")
     while True:
         both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         root = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(root, "u").where("v > u and v <> m").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(low, "hi").select(F.when(F.col("lo") == F.col("m"), F.col("hi")).otherwise(F.col("lo")).alias("hi"), F.col("m").alias("lo")).distinct()
+        small = large.join(low, "hi").select(F.when(F.col("lo") == F.col("m"), F.col("hi")).otherwise(F.col("lo")).alias("hi"), F.col("m").alias("lo")).where("hi <> lo").distinct()
         after = settle(small, "links")
         changed = after.join(edges, ["hi", "lo"], "left_anti").limit(1).count() or edges.join(after, ["hi", "lo"], "left_anti").limit(1).count()
         edges = after
         if not changed:
             break
-    label = names.join(edges.select(F.col("hi").alias("name"), F.col("lo").alias("root")), "name", "left").join(degree, "name", "left")
-    label = label.select("class_id", F.coalesce("root", "name").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
-    return membership.join(label, "class_id").select("record_id", "group_id", "links")
+    return edges.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionByName(edges.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())
+
+
+def near_duplicate_groups(records: DataFrame, record_id: str, sequence: str, threshold: float = 0.5, tolerance: float = TOLERANCE) -> DataFrame:
+    """One row per record: record_id and group_id, the smallest record of its group; cases as in :func:`near_duplicates`.
+
+    Groups are the connected components of the pairs that :func:`near_duplicates` finds, without their number: first each
+    class is compared with the first class of each of its buckets, a pair a class and bucket however hot that is; then, in
+    buckets that still hold several components, all classes of different ones. No pair that could join two components is left out.
+    """
+    membership, signed = _signed(records, record_id, sequence)
+    banded = signed.select(F.explode("keys").alias("k"), "class_id")
+    first = banded.groupBy("k").agg(F.min("class_id").alias("class_a"), F.count("*").alias("n")).where("n > 1")
+    star = banded.join(first, "k").where("class_id <> class_a").select("class_a", F.col("class_id").alias("class_b")).distinct()
+    links = settle(_verified(star, signed, threshold, tolerance).select(F.col("class_a").alias("a"), F.col("class_b").alias("b")), "stars")
+    root = settle(components(links), "roots")
+    placed = signed.join(root, signed.class_id == root.node, "left").select("class_id", F.coalesce("root", "class_id").alias("c"), F.explode("keys").alias("k"))
+    mixed = placed.groupBy("k").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("k")
+    open_ = settle(placed.join(mixed, "k", "left_semi"), "mixed")
+    rest = open_.alias("x").join(open_.alias("y"), (F.col("x.k") == F.col("y.k")) & (F.col("x.class_id") < F.col("y.class_id")) & (F.col("x.c") != F.col("y.c")))
+    rest = rest.select(F.col("x.class_id").alias("class_a"), F.col("y.class_id").alias("class_b")).distinct()
+    more = _verified(rest, signed, threshold, tolerance).select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
+    whole = components(root.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    grouped = membership.join(whole, membership.class_id == whole.node, "left").select("record_id", F.coalesce("root", "class_id").alias("c"))
+    names = grouped.groupBy("c").agg(F.min("record_id").alias("group_id"))
+    return grouped.join(names, "c").select("record_id", "group_id")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from capsidora.llm.leaks import leaked_items
-from capsidora.llm.neardup import groups, near_duplicates, record_pairs
+from capsidora.llm.neardup import near_duplicate_groups, near_duplicates, record_pairs
 from capsidora.llm.neighbours import nearest_vectors
 from capsidora.llm.quota import category_key, draw
 from capsidora.llm.residue import residue_documents
@@ -35,7 +35,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each record with the smallest record of its group of near-duplicates."""
-    return groups(*near_duplicates(sequence_records(spark, sf_dir), "id", "sequence"))
+    return near_duplicate_groups(sequence_records(spark, sf_dir), "id", "sequence")
 
 
 def sample_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,26 +101,51 @@ select id_a, id_b from common join n as x on x.id = id_a join n as y on y.id = i
 """
 
 
+P1_GROUPS_SQL = f"""
+with recursive ids as (
+  select id from (select accession as id, sequence as s from swissprot_entries union all select sequence_id, aa_sequence from prediction_results)
+  where id is not null group by id having max(length(regexp_replace(coalesce(s, ''), '[^A-Za-z]', '', 'g'))) >= 5),
+pairs as ({P1_SQL}),
+edge as (select id_a as a, id_b as b from pairs union all select id_b, id_a from pairs),
+reach as (select id, id as r from ids union select reach.id, b from reach join edge on a = r)
+select id as record_id, min(r) as group_id from reach group by id
+"""
+
+
 def _key_sql(c: str) -> str:
     joined = f"regexp_replace(regexp_replace(lower({c}), '^[\\s\\x{{A0}}_-]+|[\\s\\x{{A0}}_-]+$', '', 'g'), '[\\s\\x{{A0}}_-]+', '_', 'g')"
     return f"case when coalesce({joined}, '') = '' then 'unknown' else {joined} end"
 
 
-P2_REPORT_SQL = f"""
+_P2_RECORDS = f"""
 with runs as (
   select query_id, {_key_sql("functional_category")} as k,
     row_number() over (partition by query_id order by run_at desc nulls last, {_key_sql("functional_category")} desc) as o
   from consensus_results where query_id is not null),
 records as (
-  select 'consensus_results' as record_set, k from runs where o = 1
+  select 'consensus_results' as record_set, query_id as record_id, k from runs where o = 1
   union all
-  select 'gold_standard', max({_key_sql("true_category")}) from gold_standard where protein_id is not null group by protein_id),
+  select 'gold_standard', protein_id, max({_key_sql("true_category")}) from gold_standard where protein_id is not null group by protein_id),
+wants as (
+  select record_set, category, {_key_sql("category")} as k, cast(greatest(min_rows, floor(target_share * sample_size + 0.5)) as bigint) as wanted
+  from sample_targets),
+drawn as (
+  select record_set, record_id, category, wanted from (
+    select r.record_set, record_id, category, wanted, row_number() over (partition by r.record_set, category
+      order by cast('0x' || substr(md5('17|' || r.record_set || '|' || record_id), 1, 13) as bigint), record_id) as o
+    from records r join wants w on w.record_set = r.record_set and w.k = r.k)
+  where o <= wanted)
+"""
+
+P2_SAMPLE_SQL = f"{_P2_RECORDS} select record_set, record_id, category from drawn"
+
+P2_REPORT_SQL = f"""{_P2_RECORDS},
 observed as (select record_set, k, count(*) as n from records group by all),
-plan as (
-  select t.record_set, t.category, cast(greatest(min_rows, floor(target_share * sample_size + 0.5)) as bigint) as wanted,
-    cast(coalesce(n, 0) as bigint) as observed
-  from sample_targets t left join observed o on o.record_set = t.record_set and o.k = {_key_sql("t.category")})
-select record_set, category, wanted, observed, least(wanted, observed) as taken, greatest(wanted - observed, 0) as deficit from plan
+taken as (select record_set, category, count(*) as n from drawn group by all)
+select w.record_set, w.category, wanted, cast(coalesce(o.n, 0) as bigint) as observed, cast(coalesce(t.n, 0) as bigint) as taken,
+  cast(wanted - coalesce(t.n, 0) as bigint) as deficit
+from wants w left join observed o on o.record_set = w.record_set and o.k = w.k
+left join taken t on t.record_set = w.record_set and t.category = w.category
 """
 
 P3_SQL = """
@@ -167,4 +192,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_SQL, "p2_found": f"select record_set, category from ({P2_REPORT_SQL}) where deficit > 0", "p2_report": P2_REPORT_SQL, "p3_found": P3_SQL, "p5_found": P5_SQL, "p7_found": P7_SQL}
+    return {"p1_found": P1_SQL, "p1_groups": P1_GROUPS_SQL, "p2_found": f"select record_set, category from ({P2_REPORT_SQL}) where deficit > 0", "p2_report": P2_REPORT_SQL, "p2_sample": P2_SAMPLE_SQL, "p3_found": P3_SQL, "p5_found": P5_SQL, "p7_found": P7_SQL}

@@ -3,7 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from capsidora.llm.neardup import FRESH, LOOK, fewest_agreements, groups, letters, likely, near_duplicates, record_pairs
+from capsidora.llm.neardup import FRESH, LOOK, fewest_agreements, letters, likely, near_duplicate_groups, near_duplicates, record_pairs
 
 
 def pieces(s):
@@ -37,13 +37,33 @@ def test_pairs_and_groups(spark):
             if (root[a], root[b]) != (m, m):
                 root[a] = root[b] = m
                 changed = True
-    out = groups(membership, pairs).collect()
+    out = near_duplicate_groups(df, "id", "s").collect()
     assert {r.record_id: r.group_id for r in out} == root
 
 
 def test_empty(spark):
-    m, p = near_duplicates(spark.createDataFrame([], "id string, s string"), "id", "s")
-    assert m.count() == 0 and p.count() == 0 and record_pairs(m, p).count() == 0 and groups(m, p).count() == 0
+    none = spark.createDataFrame([], "id string, s string")
+    m, p = near_duplicates(none, "id", "s")
+    assert m.count() == 0 and p.count() == 0 and record_pairs(m, p).count() == 0 and near_duplicate_groups(none, "id", "s").count() == 0
+
+
+def test_a_hot_family_costs_a_pair_a_member_and_bucket(spark, monkeypatch):
+    from capsidora.llm import neardup
+
+    rnd = random.Random(6)
+    base = [rnd.choice("ACDEFGHIKLMNPQRSTVWY") for _ in range(300)]
+    rows = []
+    for i in range(1500):
+        s = list(base)
+        for _ in range(6):
+            s[rnd.randrange(300)] = rnd.choice("ACDEFGHIKLMNPQRSTVWY")
+        rows.append((f"v{i:05d}", "".join(s)))
+    seen = []
+    real = neardup._verified
+    monkeypatch.setattr(neardup, "_verified", lambda pairs, *rest: (seen.append(pairs.count()), real(pairs, *rest))[1])
+    out = near_duplicate_groups(spark.createDataFrame(rows, "id string, s string"), "id", "s").collect()
+    assert {r.group_id for r in out} == {"v00000"} and len(out) == 1500
+    assert sum(seen) <= 64 * 1500 < 1500 * 1499 // 2
 
 
 def test_pruning_keeps_similar_pairs():
