@@ -1,9 +1,13 @@
-"""Evaluation texts that stand, whole or in part, in corpus documents.
+"""Evaluation texts that stand, whole or in part, in corpus documents: a prefix-filtered join of shingles.
 
 A case has ``RUN`` words in a row in common. Every window of that many words of an item must then occur whole, with all
-of its five-word shingles; so of each window only its rarest shingle, by document frequency in the corpus, is looked up
-(the prefix of a containment of one). Where a document has it, its offset in the window fixes where the window must
-begin; windows that would leave the document are dropped, and the rest are compared word by word.
+of its five-word shingles in a row. In one pass over the corpus, the runs of a document whose shingles may all be shingles of
+items (by a Bloom filter of bounded size) are cut out, if they are as long as a window; equal passages are kept once, with
+the number of their documents. The shingles of the passages are then ordered by rarity, each window of an item is
+represented by its rarest one (the prefix of a containment of one), and passages and windows are joined on it. Its offset in
+the window fixes where the window must begin; windows that would leave the passage are dropped, the others compared word by word.
+
+Neither items nor passages come to the driver; only the filters do, of at most 2 ** ``MOST_BITS`` bits.
 """
 
 from __future__ import annotations
@@ -11,130 +15,145 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from capsidora.llm.words import blocks, plain_words, shingles, word_hashes
+from capsidora.session import settle
 
 RUN, SHINGLE = 12, 5
-#: Words of items that are looked up in one pass over the corpus; more items take more passes, in blocks.
-ITEM_WORDS = 1_000_000
-
-
-class Windows:
-    """The windows of a block of items, and their shingles."""
-
-    def __init__(self, texts: list[str], run: int) -> None:
-        self.run, self.words = run, [t.split(" ") for t in texts]
-        h, row = word_hashes(pa.array(texts, pa.string()))
-        n = max(0, len(h) - run + 1)
-        start = np.flatnonzero(row[:n] == row[run - 1 : run - 1 + n])
-        self.item, self.hashes = row[start], np.lib.stride_tricks.sliding_window_view(h, run)[start] if n else np.zeros((0, run), np.uint64)
-        self.place = start - np.searchsorted(row, row[start])
-        self.tokens = shingles(h, SHINGLE)[start[:, None] + np.arange(run - SHINGLE + 1)] if len(start) else np.zeros((0, 1), np.uint64)
-        self.known = np.unique(self.tokens)
-
-    def choose(self, frequency: np.ndarray) -> None:
-        """Keep of each window its rarest shingle; ``frequency`` goes with ``known``."""
-        count = frequency[np.searchsorted(self.known, self.tokens)]
-        self.offset = count.argmin(1) if len(count) else np.zeros(0, np.int64)
-        rare = self.tokens[np.arange(len(count)), self.offset]
-        live = count.min(1) > 0 if len(count) else np.zeros(0, bool)
-        order = np.flatnonzero(live)[np.argsort(rare[live], kind="stable")]
-        self.order, (self.keys, self.first) = order, np.unique(rare[order], return_index=True)
-        self.many = np.diff(np.r_[self.first, len(order)])
-
-
-def _document_shingles(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: Bits of a Bloom filter for each entry, as powers of two, and the least and most bits of all. Beyond the most the filter lets more pass, which costs time, not rows.
+BITS_EACH, LEAST_BITS, MOST_BITS = 4, 16, 28
+_MIX = np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def _probes(s: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    shift = np.uint64(64 - bits)
+    return s >> shift, (s * _MIX) >> shift
+
+
+def bloom(hashes: DataFrame) -> np.ndarray:
+    """A Bloom filter (64 bits a word) of the only column of ``hashes`` (bigint); built in the tasks, merged by words."""
+    n = hashes.distinct().count()
+    bits = min(MOST_BITS, max(LEAST_BITS, (n - 1).bit_length() + BITS_EACH))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(1 << bits - 6, np.uint64)
+        for batch in batches:
+            for p in _probes(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), bits):
+                np.bitwise_or.at(own, (p >> np.uint64(6)).astype(np.int64), np.uint64(1) << (p & np.uint64(63)))
+        at = np.flatnonzero(own)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(own[at].view(np.int64))], names=["word", "bits"])
+
+    out = np.zeros(1 << bits - 6, np.uint64)
+    for r in hashes.mapInArrow(mark, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toLocalIterator():
+        out[r.word] = np.int64(r.bits).view(np.uint64)
+    return out
+
+
+def may_hold(filter_: np.ndarray, s: np.ndarray) -> np.ndarray:
+    out = np.ones(len(s), bool)
+    for p in _probes(s, len(filter_).bit_length() + 5):
+        out &= (filter_[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) == 1
+    return out
+
+
+def text_shingles(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The row of each word, and the shingle that begins there with whether it ends in the same row."""
     h, row = word_hashes(text)
     s = shingles(h, SHINGLE)
-    inside = row[: len(s)] == row[SHINGLE - 1 : SHINGLE - 1 + len(s)]
-    return h, row, np.where(inside, s, np.uint64(0)) if len(s) else s
+    return row, s, row[: len(s)] == row[SHINGLE - 1 : SHINGLE - 1 + len(s)]
 
 
-def _found(known: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(known):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-    where = np.flatnonzero(known[at] == s)
-    return where, at[where]
+def in_a_row(hit: np.ndarray, least: int) -> np.ndarray:
+    """The places of ``hit`` that lie in a stretch of at least ``least`` true ones."""
+    edges = np.flatnonzero(np.diff(np.r_[False, hit, False].astype(np.int8)))
+    out = np.zeros(len(hit), bool)
+    for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+        if b - a >= least:
+            out[a:b] = True
+    return out
 
 
-def leaked_items(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", run: int = RUN, item_words: int = ITEM_WORDS) -> DataFrame:
+def leaked_items(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", run: int = RUN) -> DataFrame:
     """doc_id, item_id of every document and item that have at least ``run`` words in a row in common, once each.
 
-    Words are runs of letters and digits in lower case. Null, empty and wordless texts, items with fewer than ``run``
-    words and empty tables give no rows; rows with a null id take no part; other columns aren't read. Repeated documents
-    or items count once by their ids. Items are taken in blocks of ``item_words`` words, each with two passes over the corpus (document
-    frequencies, then the search); the corpus isn't shuffled, only the found pairs are.
+    Words are runs of letters and digits in lower case; ``run`` is at least five. Null, empty and wordless texts, items with
+    fewer than ``run`` words and empty tables give no rows; rows with a null id take no part; other columns aren't read.
+    Repeated documents or items count once by their ids. The corpus is read once and isn't shuffled, only its passages are,
+    equal ones once; an item that stands in a third of all documents is compared with its few distinct passages.
     """
-    spark = documents.sparkSession
     docs = documents.select(F.col(doc_id).alias("d"), plain_words(F.col(text)).alias("t")).where(f"d is not null and length(t) >= {2 * run - 1}")
     tests = items.select(F.col(item_id).alias("i"), plain_words(F.col(item_text)).alias("t")).where(f"i is not null and length(t) >= {2 * run - 1}").distinct()
-    tests = tests.withColumn("w", F.size(F.split("t", " "))).where(f"w >= {run}")
-    n = max(1, -(-int(tests.agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]) // item_words))
     kinds = dict(docs.select("d").dtypes)["d"], dict(tests.select("i").dtypes)["i"]
-    found = spark.createDataFrame([], f"d {kinds[0]}, i {kinds[1]}")
-    for part in range(n):
-        own = tests.where(F.pmod(F.xxhash64("i"), F.lit(n)) == part).select("i", "t").orderBy("i", "t").collect()
-        if own:
-            found = found.unionByName(_search(docs, [r.i for r in own], Windows([r.t for r in own], run), f"d {kinds[0]}, i {kinds[1]}"))
-    return found.distinct().select(F.col("d").alias(doc_id), F.col("i").alias(item_id))
+    many = run - SHINGLE + 1
 
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each window of an item with its shingles."""
+        for batch in batches:
+            for part in blocks(batch, 1):
+                row, s, _ = text_shingles(part.column(1))
+                n = max(0, len(row) - run + 1)
+                start = np.flatnonzero(row[:n] == row[run - 1 : run - 1 + n])
+                if len(start):
+                    held = s[start[:, None] + np.arange(many)].view(np.int64)
+                    word = [w for t in part.column(1).to_pylist() for w in t.split(" ")]
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(start) + 1, dtype=np.int32) * many), pa.array(held.ravel()))
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row[start])), pa.array([" ".join(word[a : a + run]) for a in start.tolist()]), lists], names=["i", "w", "s"])
+
+    wanted = settle(tests.mapInArrow(windows, f"i {kinds[1]}, w string, s array<bigint>"), "windows")
+    known = bloom(wanted.select(F.explode("s").alias("s")))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The passages of documents that may hold a window."""
+        for batch in batches:
+            for part in blocks(batch, 1):
+                row, s, inside = text_shingles(part.column(1))
+                hit = in_a_row(may_hold(known, s) & inside, many)
+                # a stretch never goes on from one text to the next: the last places of a text hold no shingle
+                edges = np.flatnonzero(np.diff(np.r_[False, hit, False].astype(np.int8)))
+                a, b = edges[::2], edges[1::2]
+                if len(a):
+                    first, held, passages = np.searchsorted(row, row[a]), {}, []
+                    for r, z, x, y in zip(row[a].tolist(), first.tolist(), a.tolist(), b.tolist(), strict=True):
+                        if r not in held:
+                            held = {r: part.column(1)[r].as_py().split(" ")}
+                        passages.append(" ".join(held[r][x - z : y - z + SHINGLE - 1]))
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row[a])), pa.array(passages, pa.string())], names=["d", "p"])
+
+    found = settle(docs.mapInArrow(cut, f"d {kinds[0]}, p string").withColumn("h", F.unhex(F.md5("p"))), "passages")
+    passages = settle(found.groupBy("h").agg(F.first("p").alias("p"), F.count("*").alias("n")), "distinct-passages")
 
-def _search(docs: DataFrame, ids: list, windows: Windows, schema: str) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(windows.known), np.int64)
         for batch in batches:
             for part in blocks(batch, 0):
-                _, row, s = _document_shingles(part.column(0))
-                where, at = _found(windows.known, s)
-                pair = np.unique(row[where] * len(total) + at)
-                total += np.bincount(pair % len(total), minlength=len(total))
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["k", "n"])
-
-    frequency = np.zeros(len(windows.known), np.int64)
-    if len(frequency):
-        for r in docs.select("t").mapInArrow(count, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).toLocalIterator():
-            frequency[r.k] = r.n
-    windows.choose(frequency)
-    names = pd.Series(ids)
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run = windows.run
+                row, s, inside = text_shingles(part.column(0))
+                at = np.flatnonzero(inside)
+                yield pa.RecordBatch.from_arrays([pa.array(s[at].view(np.int64)), part.column(1).take(pa.array(row[at]))], names=["s", "n"])
+
+    frequency = passages.select("p", "n").mapInArrow(count, "s bigint, n bigint").groupBy("s").agg(F.sum("n").alias("n"))
+    # a window with a shingle that no passage has can't occur
+    tokens = wanted.select("i", "w", F.posexplode("s").alias("offset", "s")).join(frequency, "s")
+    rare = tokens.groupBy("i", "w").agg(F.min(F.struct("n", "s", "offset")).alias("r"), F.count("*").alias("held")).where(f"held >= {many}")
+    rare = settle(rare.select("i", "w", F.col("r.s").alias("s"), F.col("r.offset").alias("offset")), "prefixes")
+    prefixes = bloom(rare.select("s"))
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Where passages may have a prefix, with the words from which a window there could begin to those where it could end."""
         for batch in batches:
             for part in blocks(batch, 1):
-                h, row, s = _document_shingles(part.column(1))
-                where, at = _found(windows.keys, s)
-                many = windows.many[at]
-                place = np.repeat(where, many)
-                window = windows.order[np.arange(len(place)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(windows.first[at], many)]
-                doc = row[place]
-                start = place - windows.offset[window]
-                fits = (start >= 0) & (start + run <= len(h))
-                start, window, doc = start[fits], window[fits], doc[fits]
-                fits = (row[start] == doc) & (row[start + run - 1] == doc)
-                start, window, doc = start[fits], window[fits], doc[fits]
-                same = np.ones(len(start), bool)
-                for k in range(run):
-                    same &= h[start + k] == windows.hashes[window, k]
-                start, window, doc = start[same], window[same], doc[same]
-                pairs: dict[tuple[int, int], None] = {}
-                held: dict[int, list[str]] = {}
-                begin = np.searchsorted(row, doc)
-                for a, w, d, z in zip(start.tolist(), window.tolist(), doc.tolist(), begin.tolist(), strict=True):
-                    item = int(windows.item[w])
-                    if (d, item) not in pairs:
-                        if d not in held:
-                            held = {d: part.column(1)[d].as_py().split(" ")}
-                        p = int(windows.place[w])
-                        if held[d][a - z : a - z + run] == windows.words[item][p : p + run]:
-                            pairs[d, item] = None
-                if pairs:
-                    rows = pa.array([d for d, _ in pairs])
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(rows), pa.Array.from_pandas(names.iloc[[i for _, i in pairs]].reset_index(drop=True))], names=["d", "i"])
-
-    return docs.mapInArrow(search, schema)
+                row, s, inside = text_shingles(part.column(1))
+                at = np.flatnonzero(may_hold(prefixes, s) & inside)
+                if len(at):
+                    word = [w for t in part.column(1).to_pylist() for w in t.split(" ")]
+                    first, last = np.searchsorted(row, row[at]), np.searchsorted(row, row[at], side="right")
+                    a, b = np.maximum(first, at - (many - 1)), np.minimum(last, at + run)
+                    around = pa.array([" ".join(word[x:y]) for x, y in zip(a.tolist(), b.tolist(), strict=True)], pa.string())
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row[at])), pa.array(s[at].view(np.int64)), pa.array((at - a).astype(np.int32)), around], names=["h", "s", "before", "around"])
+
+    placed = passages.select("h", "p").mapInArrow(places, "h binary, s bigint, before int, around string")
+    fits = placed.join(rare, "s").where("before >= offset")
+    same = F.array_join(F.slice(F.split("around", " "), F.col("before") - F.col("offset") + 1, F.lit(run)), " ") == F.col("w")
+    pairs = fits.where(same).select("h", "i").distinct()
+    return found.select("d", "h").join(pairs, "h").select(F.col("d").alias(doc_id), F.col("i").alias(item_id)).distinct()

@@ -1,6 +1,9 @@
 import random
 import re
 
+import numpy as np
+
+from capsidora.llm import leaks
 from capsidora.llm.leaks import leaked_items
 
 
@@ -22,6 +25,17 @@ def brute(docs, items, run=12):
     return out
 
 
+def test_filter_and_stretches():
+    rng = np.random.default_rng(2)
+    s = rng.integers(0, 1 << 64, 3000, dtype=np.uint64)
+    f = np.zeros(1 << 10, np.uint64)
+    for p in leaks._probes(s[:2000], 16):
+        np.bitwise_or.at(f, (p >> np.uint64(6)).astype(np.int64), np.uint64(1) << (p & np.uint64(63)))
+    assert leaks.may_hold(f, s[:2000]).all() and leaks.may_hold(f, s[2000:]).mean() < 0.1
+    hit = np.array([1, 1, 0, 1, 1, 1, 0, 0, 1, 1, 1, 1], bool)
+    assert leaks.in_a_row(hit, 3).tolist() == [False] * 3 + [True] * 3 + [False] * 2 + [True] * 4
+
+
 def test_against_brute_force(spark):
     rnd = random.Random(8)
     vocabulary = ["alpha", "Beta", "γάμμα", "d4", "straße", "x", "the", "of"]
@@ -42,5 +56,5 @@ def test_against_brute_force(spark):
     want = brute(docs, items)
     got = [tuple(r) for r in leaked_items(d, e).collect()]
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 50
-    assert {tuple(r) for r in leaked_items(d, e, item_words=200).collect()} == want
+    assert {tuple(r) for r in leaked_items(d, e, run=7).collect()} == brute(docs, items, 7)
     assert leaked_items(d.limit(0), e).count() == 0 and leaked_items(d, e.limit(0)).count() == 0
