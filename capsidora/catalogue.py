@@ -11,7 +11,7 @@ from capsidora import oracle
 from capsidora.functions import rules, scoring, sequences, text
 from capsidora.operators import benchmark, consensus, evidence, export, genome, report, similarity, validation
 from capsidora.operators.packed import split_packed
-from capsidora.session import small_side, table
+from capsidora.session import settle, small_side, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 BLANKS = r"^\s+|\s+$"
@@ -38,15 +38,33 @@ def results(spark: SparkSession, d: str) -> DataFrame:
     return runs.groupBy("query_id").agg(F.max(F.struct("run_at", *rest, "databases")).alias("m")).select("query_id", "m.*")
 
 
+def pick(key: Column, salt: str, values: list[str | None]) -> Column:
+    """One of some values by a digest of a key."""
+    place = F.conv(F.substring(F.md5(F.concat(F.lit(salt), key)), 1, 6), 16, 10).cast("int") % len(values)
+    return F.element_at(F.array(*[F.lit(v).cast("string") for v in values]), place + 1)
+
+
+#: Evidence texts for tables that have none of their own.
+SUPERFAMILIES = ["Zincins", "Ankyrin repeat", "P-loop containing nucleoside triphosphate hydrolases", "winged helix", "", None]
+PROCESSES = ["viral DNA genome packaging", "viral release from host cell", "metabolic process", "", None]
+FUNCTIONS = ["RNA-directed RNA polymerase activity", "structural molecule activity", "endonuclease activity", "binding", "", None]
+
+
 def annotations(spark: SparkSession, d: str) -> DataFrame:
-    """target, source_db, description: what earlier runs called a target (the greatest text)."""
+    """What is known of a target: the greatest description that earlier runs gave it, gene and Pfam of the gold standard, evidence texts, and a structure quality from figures drawn for it."""
     told = results(spark, d).where("primary_target is not null and primary_source is not null")
-    return told.groupBy(F.col("primary_target").alias("target"), F.lower(F.regexp_replace("primary_source", BLANKS, "")).alias("source_db")).agg(F.max("description").alias("description"))
+    g = table(spark, d, "gold_standard").where("protein_id is not null").groupBy("protein_id").agg(F.max("gene").alias("gene"), F.max("pfam_domains").alias("pfam"), F.max("uniprot_id").alias("uniprot_id"))
+    told = told.join(g, F.col("query_id") == F.col("protein_id"), "left")
+    t = told.groupBy(F.col("primary_target").alias("target"), F.lower(F.regexp_replace("primary_source", BLANKS, "")).alias("source_db")).agg(F.max("description").alias("description"), F.max("gene").alias("gene"), F.max("pfam").alias("pfam"), F.max("uniprot_id").alias("uniprot_id"))
+    key, none = F.col("target"), F.lit(None).cast("double")
+    figure = lambda salt: F.conv(F.substring(F.md5(F.concat(F.lit(salt), key)), 1, 6), 16, 10).cast("int") % 101
+    quality, source = scoring.structure_quality(none, none, none, none, none, F.when(F.col("source_db") == "bfvd", figure("plddt").cast("double")), F.when(figure("ptm") > 10, figure("ptm") / 100))
+    return t.withColumns({"structure_quality": quality, "structure_source": source, "superfamily": pick(key, "s", SUPERFAMILIES), "go_bp": pick(key, "p", PROCESSES), "go_mf": pick(key, "f", FUNCTIONS)})
 
 
 def gold(spark: SparkSession, d: str) -> DataFrame:
     g = table(spark, d, "gold_standard").where("protein_id is not null")
-    return g.groupBy("protein_id").agg(F.max(_label(F.col("true_category"))).alias("truth"), F.max("true_function").alias("function"), F.max("viral_family").alias("family"), F.max("pfam_domains").alias("pfam"), F.max("go_terms").alias("go"), F.max("uniprot_id").alias("uniprot_id"))
+    return g.groupBy("protein_id").agg(F.max(_label(F.col("true_category"))).alias("truth"), F.max("true_function").alias("function"), F.max("viral_family").alias("family"), F.max("pfam_domains").alias("pfam"), F.max("go_terms").alias("go"), F.max("uniprot_id").alias("uniprot_id"), F.max("gene").alias("gene"))
 
 
 def proteins(spark: SparkSession, d: str) -> DataFrame:
@@ -67,7 +85,7 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
 def consensus_best_hits(spark: SparkSession, d: str) -> DataFrame:
     """Consensus annotation of every predicted protein, with or without hits."""
     queries = proteins(spark, d).select(F.col("sequence_id").alias("query"), F.length(F.coalesce("aa", F.lit(""))).alias("query_length"))
-    out = consensus.consensus(hits(spark, d), annotations(spark, d), queries)
+    out = consensus.consensus(hits(spark, d), settle(annotations(spark, d), "annotations"), queries)
     return out.withColumn("databases", F.array_join("databases", ","))
 
 
@@ -125,9 +143,11 @@ def keyword_classify(spark: SparkSession, d: str) -> DataFrame:
 
 
 def evidence_hierarchy(spark: SparkSession, d: str) -> DataFrame:
-    nothing = F.lit(None).cast("string")
-    c, s = rules.by_evidence(F.col("function"), nothing, F.col("pfam"), nothing, F.col("go"), F.col("go"))
-    return gold(spark, d).select("protein_id", c.alias("category"), s.alias("classification_source"))
+    """Category of each gold-standard protein by the strongest of five kinds of evidence."""
+    g, key = gold(spark, d), F.col("protein_id")
+    g = g.withColumns({"superfamily": pick(key, "s", SUPERFAMILIES), "go_bp": pick(key, "p", PROCESSES), "go_mf": pick(key, "f", FUNCTIONS)})
+    c, s = rules.by_evidence(F.col("function"), F.col("gene"), F.col("pfam"), F.col("superfamily"), F.col("go_bp"), F.col("go_mf"))
+    return g.select("protein_id", c.alias("category"), s.alias("classification_source"))
 
 
 def term_agreement(spark: SparkSession, d: str) -> DataFrame:
@@ -136,7 +156,8 @@ def term_agreement(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _told(spark: SparkSession, d: str) -> DataFrame:
-    best = consensus.best_per_database(consensus.scored_hits(hits(spark, d), annotations(spark, d)))
+    known = settle(annotations(spark, d), "annotations")
+    best = consensus.described(consensus.best_per_database(consensus.scored_hits(hits(spark, d), known)), known)
     return best.where("description is not null").select("query", "source_db", "description", "evalue", rules.simple_category(F.col("description")).alias("category"))
 
 
@@ -366,7 +387,7 @@ def go_filter(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dual_validation(spark: SparkSession, d: str) -> DataFrame:
-    t = _transfer(spark, d).withColumn("go_term", F.concat(F.coalesce("go_term", F.lit("")), F.when(F.col("aspect") == "MF", " dna polymerase activity").otherwise(" capsid assembly")))
+    t = _transfer(spark, d)
     r = results(spark, d).select(F.col("query_id").alias("query"), "functional_category", "consensus_score", "confidence_level")
     return evidence.dual_validated(r, evidence.go_category(t))
 

@@ -48,10 +48,14 @@ def structure_quality(esm_plddt: Column, esm_ptm: Column, cf_plddt: Column, cf_p
     return F.when(source == "none", 1.0).otherwise(bonus), source
 
 
-def hit_score(quality: Column, structure: Column, source_db: Column, description: Column) -> Column:
-    weight = F.when(source_db == "viro3d", DB_WEIGHT["viro3d"]).otherwise(DB_WEIGHT["bfvd"])
+def tells(description: Column) -> Column:
+    """Whether a description says something about the protein."""
     text = F.coalesce(description, F.lit(""))
-    told = (text != "") & ~text.contains("UniProt:") & ~F.lower(text).contains("hypothetical")
+    return (text != "") & ~text.contains("UniProt:") & ~F.lower(text).contains("hypothetical")
+
+
+def hit_score(quality: Column, structure: Column, source_db: Column, told: Column) -> Column:
+    weight = F.when(source_db == "viro3d", DB_WEIGHT["viro3d"]).otherwise(DB_WEIGHT["bfvd"])
     return quality * ((1 - STRUCTURE_WEIGHT) + STRUCTURE_WEIGHT * structure) * F.when(told, weight * DESCRIBED).otherwise(weight)
 
 

@@ -56,11 +56,15 @@ def merged_calls(first: DataFrame, second: DataFrame, share: float = 0.5) -> Dat
     return first.unionByName(uncovered(second, first, ["contig", "strand"], share))
 
 
-def containing(parts: DataFrame, wholes: DataFrame) -> DataFrame:
-    """part_id, whole_id: the first whole (smallest ord) on the contig that contains each part (contig, start, end)."""
-    p, w = parts.alias("p"), wholes.alias("w")
-    inside = p.join(w, (F.col("p.contig") == F.col("w.contig")) & (F.col("w.start") <= F.col("p.start")) & (F.col("w.end") >= F.col("p.end")))
-    return inside.groupBy("p.part_id").agg(F.min(F.struct("w.ord", "w.whole_id")).alias("b")).select("part_id", F.col("b.whole_id").alias("whole_id"))
+def containing(parts: DataFrame, wholes: DataFrame, width: int = 512) -> DataFrame:
+    """part_id, whole_id: the first whole (smallest ord) on the contig that contains each part (contig, start, end).
+
+    Wholes are laid into bins of ``width`` places, and a part meets those in the bin of its start, so a contig is never compared whole.
+    """
+    p = parts.select("contig", "part_id", F.col("start").alias("ps"), F.col("end").alias("pe"), F.floor(F.col("start") / width).alias("bin"))
+    w = wholes.select("contig", "ord", "whole_id", F.col("start").alias("ws"), F.col("end").alias("we"), F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))).alias("bin"))
+    inside = p.join(w, ["contig", "bin"]).where("ws <= ps and we >= pe")
+    return inside.groupBy("part_id").agg(F.min(F.struct("ord", "whole_id")).alias("b")).select("part_id", F.col("b.whole_id").alias("whole_id"))
 
 
 def without_polyproteins(wholes: DataFrame, contained: DataFrame, least: int = 2) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from capsidora.session import small_side
+
 # When a hit is weak.
 WEAK_EVALUE, WEAK_IDENTITY, WEAK_SCORE = 1e-5, 0.3, 0.3
 
@@ -16,12 +18,17 @@ def dark_category(has_hit: Column, category: Column, evalue: Column, identity: C
 
 
 def upper_median(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
-    """The value at place n // 2 (from 0) of each group, found by counts of equal values rather than by a list of all."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
-    w = Window.partitionBy(*keys).orderBy(value) if keys else Window.partitionBy(F.lit(0)).orderBy(value)
-    all_ = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    placed = counts.withColumn("upto", F.sum("n").over(w)).withColumn("half", F.floor(F.sum("n").over(all_) / 2))
-    return placed.where("upto > half").groupBy(*keys).agg(F.min(value).alias("median"))
+    """The value at place n // 2 (from 0) of each group, exactly.
+
+    Quantiles close around the middle, whose rank error is bounded, give a narrow range; rows below it are counted, and only the distinct values within it are ordered.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("v__"))
+    near = rows.groupBy(*keys).agg(F.count("*").alias("n__"), F.percentile_approx("v__", [0.499, 0.501], 100_000).alias("q__"))
+    placed = rows.join(small_side(near), keys) if keys else rows.crossJoin(F.broadcast(near))
+    below = F.col("v__") < F.col("q__")[0]
+    kept = placed.where(F.col("v__") <= F.col("q__")[1]).groupBy(*keys, F.when(~below, F.col("v__")).alias("v__")).agg(F.count("*").alias("c__"), F.first("n__").alias("n__"))
+    upto = F.sum("c__").over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy(F.col("v__").asc_nulls_first()))
+    return kept.withColumn("u__", upto).where("v__ is not null and u__ > floor(n__ / 2)").groupBy(*keys).agg(F.min("v__").alias("median"))
 
 
 def dark_matter(consensus: DataFrame) -> DataFrame:
@@ -39,6 +46,13 @@ def dark_matter_summary(consensus: DataFrame) -> DataFrame:
     return total.crossJoin(head).crossJoin(upper_median(dark, "query_length", [])).withColumn("rate", F.round(F.when(F.col("total") > 0, F.col("dark") / F.col("total")).otherwise(0.0), 9))
 
 
+def dark_matter_breakdown(dark: DataFrame) -> DataFrame:
+    """kind, value, n: unexplained proteins by category, by confidence and, where it was predicted, by class of disorder."""
+    held = dark if "disorder_class" in dark.columns else dark.withColumn("disorder_class", F.lit(None).cast("string"))
+    out = distributions(held, ["dark_category", "confidence_level", "disorder_class"])
+    return out.where("field <> 'disorder_class' or value is not null").withColumnRenamed("field", "kind")
+
+
 def distributions(df: DataFrame, columns: list[str]) -> DataFrame:
     """field, value, n: the counts of each column's values, all from one pass (grouping sets)."""
     sets = [[c] for c in columns]

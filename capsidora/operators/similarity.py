@@ -1,66 +1,75 @@
 """Exact similarity search of query vectors in reference vectors, retrieval figures and triage.
 
-The references are scanned in place, once for each block of queries; a block is sent to the tasks as one matrix of bounded
-size, each batch of references is multiplied with it, and only its best rows go on to the merge.
+Both sides are packed into blocks of bounded size, one row each; every block of queries meets every block of references in a task,
+where they are multiplied as matrices, and only the best of each pair of blocks go on to the merge. Nothing goes to the driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries of a block; 64 doubles each make 10 MB.
-QUERY_BLOCK = 20_000
+#: Vectors of a block.
+BLOCK = 4096
 
 
-def _unit(column: pa.Array) -> np.ndarray:
-    x = np.array(column.to_pylist(), dtype=np.float64).reshape(len(column), -1)
-    return x / np.sqrt((x * x).sum(1, keepdims=True))
+def _packed(df: DataFrame, blocks: int) -> DataFrame:
+    """b, ids, m: the vectors of each block as unit vectors in double, in the order of their ids."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        t = pa.Table.from_batches(held)
+        for block in sorted(set(t["b"].to_pylist())):
+            own = t.filter(pa.compute.equal(t["b"], block)).sort_by("id")
+            x = own["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), -1)
+            x = x / np.sqrt((x * x).sum(1, keepdims=True))
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([own["id"].to_pylist()], pa.list_(pa.string())), pa.array([x.tobytes()])], names=["b", "ids", "m"])
+
+    rows = df.select("id", F.col("embedding").cast("array<double>").alias("embedding"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"))
+    return rows.repartition(blocks, "b").mapInArrow(pack, "b int, ids array<string>, m binary")
 
 
 def top_similar(queries: DataFrame, references: DataFrame, k: int = 1, threshold: float = -1.0, same: bool = False) -> DataFrame:
     """query, target, similarity, place (from 1): the ``k`` references with the largest cosine at or above ``threshold``.
 
-    Both tables have id (string) and embedding (non-zero, of one length). Cosines are rounded to 9 decimals, ties go to the
+    Both tables have id (string, unique) and embedding (non-zero, of one length). Cosines are rounded to 9 decimals, ties go to the
     smaller target. With ``same`` a vector isn't compared with its own id. An empty side gives no rows.
     """
     spark = queries.sparkSession
-    held = queries.select("id", "embedding").withColumn("b", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-queries.count() // QUERY_BLOCK)))))
-    out = spark.createDataFrame([], "query string, target string, similarity double")
-    for block in [r.b for r in held.select("b").distinct().collect()]:
-        rows = held.where(F.col("b") == block).select("id", "embedding").toArrow()
-        out = out.unionByName(_scan(references.select("id", "embedding"), rows.column("id").to_pylist(), _unit(rows.column("embedding")), k, threshold, same))
-    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "target"))
-    return out.withColumn("place", place).where(F.col("place") <= k)
-
-
-def _scan(references: DataFrame, names: list[str], matrix: np.ndarray, k: int, threshold: float, same: bool) -> DataFrame:
-    number = {n: i for i, n in enumerate(names)}
+    nq, nr = (max(1, ceil(df.count() / BLOCK)) for df in (queries, references))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spread = min(nr, max(1, ceil(parts / nq)))
+    left = _packed(queries, nq).withColumnRenamed("b", "qb").select("qb", F.col("ids").alias("qi"), F.col("m").alias("qm"), F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("part"))
+    right = _packed(references, nr).select((F.col("b") % spread).alias("part"), F.col("ids").alias("ri"), F.col("m").alias("rm"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"))
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            order = np.array(sorted(range(batch.num_rows), key=batch.column(0).to_pylist().__getitem__))
-            batch = batch.take(pa.array(order))
-            ids = batch.column(0).to_pylist()
-            for a in range(0, len(names), 1024):
-                sims = np.round(matrix[a : a + 1024] @ _unit(batch.column(1)).T, 9) + 0.0
-                if same:
-                    for j, t in enumerate(ids):
-                        if a <= number.get(t, -1) < a + len(sims):
-                            sims[number[t] - a, j] = -2.0
-                at = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-                value = np.take_along_axis(sims, at, 1)
-                q, c = np.nonzero(value >= max(threshold, -1.5))
-                if len(q):
-                    yield pa.RecordBatch.from_arrays([pa.array([names[a + i] for i in q]), batch.column(0).take(pa.array(at[q, c])), pa.array(value[q, c])], names=["query", "target", "similarity"])
-
-    return references.mapInArrow(best, "query string, target string, similarity double")
+            for row in batch.to_pylist():
+                names, ids = row["qi"], row["ri"]
+                a, b = (np.frombuffer(m, np.float64).reshape(len(n), -1) for m, n in ((row["qm"], names), (row["rm"], ids)))
+                own = {t: j for j, t in enumerate(ids)} if same else {}
+                for s in range(0, len(names), 1024):
+                    sims = np.round(a[s : s + 1024] @ b.T, 9) + 0.0
+                    for i, n in enumerate(names[s : s + 1024]):
+                        if n in own:
+                            sims[i, own[n]] = -2.0
+                    at = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+                    value = np.take_along_axis(sims, at, 1)
+                    q, c = np.nonzero(value >= max(threshold, -1.5))
+                    if len(q):
+                        yield pa.RecordBatch.from_arrays([pa.array([names[s + i] for i in q]), pa.array([ids[j] for j in at[q, c]]), pa.array(value[q, c])], names=["query", "target", "similarity"])
+
+    met = left.join(right, ["qb", "part"]).select("qi", "qm", "ri", "rm").mapInArrow(best, "query string, target string, similarity double")
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "target"))
+    return met.withColumn("place", place).where(F.col("place") <= k)
 
 
 def triage(queries: DataFrame, best: DataFrame, threshold: float = 0.90) -> DataFrame:

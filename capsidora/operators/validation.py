@@ -42,7 +42,7 @@ def conflicts_from(pairs: DataFrame, least: str = "minor") -> DataFrame:
 
 def consistency(annotations: DataFrame) -> DataFrame:
     """For each pair of databases: queries in both, in one only, agreeing, partly, not; equal categories; score."""
-    total = annotations.select("query").distinct().count()
+    total = annotations.agg(F.countDistinct("query").alias("total"))
     held = annotations.where("coalesce(description, '') <> ''").groupBy("source_db").agg(F.count("*").alias("n"))
     pairs = database_pairs(annotations).groupBy("db1", "db2").agg(
         F.count("*").alias("both"),
@@ -51,12 +51,19 @@ def consistency(annotations: DataFrame) -> DataFrame:
         F.count_if(F.col("similarity") < 0.2).alias("disagree"),
         F.count_if(F.col("category1") == F.col("category2")).alias("same_category"),
     )
-    out = pairs.join(held.toDF("db1", "n1"), "db1").join(held.toDF("db2", "n2"), "db2")
+    out = pairs.join(held.toDF("db1", "n1"), "db1").join(held.toDF("db2", "n2"), "db2").crossJoin(F.broadcast(total))
     share = lambda a: F.when(F.col("both") > 0, a / F.col("both")).otherwise(0.0)
-    score = 0.6 * share(F.col("agree")) + 0.3 * share(F.col("same_category")) + 0.1 * F.least(F.lit(1.0), F.col("both") * 2 / F.lit(max(1, total)))
+    score = 0.6 * share(F.col("agree")) + 0.3 * share(F.col("same_category")) + 0.1 * F.least(F.lit(1.0), F.col("both") * 2 / F.greatest(F.lit(1), F.col("total")))
     return out.select("db1", "db2", "both", (F.col("n1") - F.col("both")).alias("only1"), (F.col("n2") - F.col("both")).alias("only2"), "agree", "partial", "disagree", "same_category", F.round(score, 9).alias("score"))
 
 
 def status_report(results: DataFrame) -> DataFrame:
     """Queries, mean and true median of reliability by status."""
     return results.groupBy("status").agg(F.count("*").alias("n"), F.round(F.avg("reliability"), 5).alias("mean_reliability"), F.round(F.median("reliability"), 5).alias("median_reliability"), F.sum("conflicts").alias("conflicts"))
+
+
+def reliability_bins(results: DataFrame) -> DataFrame:
+    """bin, n: validated queries by reliability; empty bins have no row."""
+    r = F.col("reliability")
+    name = F.when(r >= 0.8, "high (>=0.8)").when(r >= 0.5, "medium (0.5-0.8)").when(r >= 0.3, "low (0.3-0.5)").otherwise("very_low (<0.3)")
+    return results.where(r.isNotNull()).groupBy(name.alias("bin")).agg(F.count("*").alias("n"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from capsidora.functions import rules, scoring
+from capsidora.functions import rules
 from capsidora.functions.text import COMMON, COMMON_MORE
 
 
@@ -66,19 +66,41 @@ _RESULTS = f"""results as (
       row_number() over (partition by query_id order by run_at desc nulls last, query_length desc nulls last, description desc nulls last,
         {_label("functional_category")} desc nulls last, confidence_level desc nulls last, consensus_score desc nulls last, primary_source desc nulls last, primary_target desc nulls last) as o
     from consensus_results where query_id is not null) where o = 1)"""
-_NOTES = f"""notes as (
-  select primary_target as target, {_name("primary_source")} as source_db, max(description) as description from results
-  where primary_target is not null and primary_source is not null group by all)"""
+def _drawn(key: str, salt: str, values: list[str | None]) -> str:
+    texts = ", ".join("null" if v is None else _q(v) for v in values)
+    return f"([{texts}])[cast(cast('0x' || substr(md5('{salt}' || {key}), 1, 6) as bigint) % {len(values)} + 1 as integer)]"
+
+
+def _drawn_texts(key: str) -> str:
+    return (
+        _drawn(key, "s", ["Zincins", "Ankyrin repeat", "P-loop containing nucleoside triphosphate hydrolases", "winged helix", "", None]) + " as superfamily, "
+        + _drawn(key, "p", ["viral DNA genome packaging", "viral release from host cell", "metabolic process", "", None]) + " as go_bp, "
+        + _drawn(key, "f", ["RNA-directed RNA polymerase activity", "structural molecule activity", "endonuclease activity", "binding", "", None]) + " as go_mf"
+    )
+
+
+_NOTES = f"""told_notes as (
+  select primary_target as target, {_name("primary_source")} as source_db, max(description) as description, max(gene) as gene, max(pfam) as pfam, max(uniprot_id) as uniprot_id
+  from results left join (select protein_id, max(gene) as gene, max(pfam_domains) as pfam, max(uniprot_id) as uniprot_id from gold_standard where protein_id is not null group by 1) g on g.protein_id = query_id
+  where primary_target is not null and primary_source is not null group by all),
+figured as (
+  select *, case when source_db = 'bfvd' then (cast('0x' || substr(md5('plddt' || target), 1, 6) as bigint) % 101)::double end as p,
+    case when cast('0x' || substr(md5('ptm' || target), 1, 6) as bigint) % 101 > 10 then (cast('0x' || substr(md5('ptm' || target), 1, 6) as bigint) % 101)::double / 100 end as t from told_notes),
+notes as (
+  select * exclude (p, t), {_drawn_texts("target")}, case when p is null then 'none' else 'bfvd_af2' end as structure_source, case when p is null then 1.0::double else
+    0.7::double * (case when p >= 70 then 0.9::double + 0.1::double * ((p - 70) / 30) when p >= 50 then 0.7::double + 0.2::double * ((p - 50) / 20) when p >= 30 then 0.5::double + 0.2::double * ((p - 30) / 20) else 0.3::double + 0.2::double * (p / 30) end)
+    + 0.3::double * (case when t is null then 0.8::double when t >= 0.5 then 0.85::double + 0.15::double * ((t - 0.5::double) / 0.5::double) when t >= 0.3 then 0.7::double + 0.15::double * ((t - 0.3::double) / 0.2::double) else 0.5::double + 0.2::double * (t / 0.3::double) end) end as structure_quality
+  from figured)"""
 _GOLD = f"""gold as (
   select protein_id, max({_label("true_category")}) as truth, max(true_function) as function, max(viral_family) as family, max(pfam_domains) as pfam,
-    max(go_terms) as go, max(uniprot_id) as uniprot_id from gold_standard where protein_id is not null group by protein_id)"""
+    max(go_terms) as go, max(uniprot_id) as uniprot_id, max(gene) as gene from gold_standard where protein_id is not null group by protein_id)"""
 _PROTEINS = """proteins as (
   select sequence_id, max(aa_sequence) as aa, max(three_di_sequence) as di, max(confidence_scores) as scores from prediction_results where sequence_id is not null group by sequence_id)"""
 _ENTRIES = """entries as (
   select accession, max(organism) as organism, max(lineage) as lineage, max(sequence) as sequence from swissprot_entries where accession is not null group by accession)"""
 _QUALITY = "0.5::double * case when evalue > 0 then least(1.0::double, -log10(case when evalue > 0 then evalue else 1 end) / 50) else 1.0::double end + 0.3::double * fident + 0.2::double * qcov"
 _SCORED = f"""scored as (
-  select h.*, n.description, round(({_QUALITY}) * ((1::double - {scoring.STRUCTURE_WEIGHT}::double) + {scoring.STRUCTURE_WEIGHT}::double * 1.0::double)
+  select h.*, n.* exclude (target, source_db), round(({_QUALITY}) * ((1::double - 0.15::double) + 0.15::double * coalesce(n.structure_quality, 1.0::double))
       * (case when h.source_db = 'viro3d' then 1.2::double else 1.0::double end
       * case when coalesce(n.description, '') <> '' and not contains(n.description, 'UniProt:') and not contains(lower(n.description), 'hypothetical') then 1.1::double else 1.0::double end), 9) as score
   from hits h left join notes n using (target, source_db))"""
@@ -149,25 +171,43 @@ def _agreement(a: str, b: str, ta: str, tb: str) -> str:
     return f"case when contains(lower(coalesce({a}, '')), 'uniprot:') or contains(lower(coalesce({b}, '')), 'uniprot:') or len({ta}) = 0 or len({tb}) = 0 then 'partial' when {j} >= 0.5 then 'agree' when {j} >= 0.2 then 'partial' else 'disagree' end"
 
 
+NOVELTY = [("database_match", 0.95), ("close_homolog", 0.70), ("remote_homolog", 0.30)]
+HIT_LEVELS = [("high", 0.9), ("medium", 0.7), ("low", 0.5)]
+LEVELS = [("high", 0.8), ("medium", 0.5), ("low", 0.3)]
+
+
+def _ladder(t: str, rule: str) -> tuple[str, str]:
+    """Category and source by the rungs of evidence, from columns pfam, superfamily, go_bp, go_mf and a text for keywords."""
+    rungs = {"pfam": rules.PFAM, "superfamily": rules.SUPERFAMILY, "go_bp": rules.GO_PROCESS, "go_mf": rules.GO_FUNCTION}
+    first = ", ".join(_by_terms(n, r) for n, r in rungs.items())
+    source = " ".join(f"when {_by_terms(n, r)} is not null then '{n}:' || {n}" for n, r in rungs.items())
+    return f"coalesce({first}, {_by_keywords(rule, t)})", f"case {source} else 'keywords' end"
+
+
 def _consensus() -> str:
-    text = "lower(description || ' ')"
+    text = "lower(description || ' ' || coalesce(gene, ''))"
+    category, source = _ladder("t", "rule")
     return _with(_PROTEINS, _HITS, _RESULTS, _NOTES, _SCORED, _BEST, f"""ranked as (
   select *, row_number() over (partition by query order by score desc, case source_db when 'bfvd' then 0 when 'viro3d' then 1 else 2 end, source_db) as p, {_terms("description", COMMON)} as terms from best),
 paired as (
-  select a.query, a.source_db as primary_source, a.target as primary_target, a.evalue as primary_evalue, a.fident as primary_identity, coalesce(nullif(a.description, ''), 'hypothetical protein') as description,
-    {_steps("a.fident", scoring.NOVELTY, "twilight_zone")} as novelty, b.source_db as secondary_source, b.target as secondary_target,
+  select a.query, a.source_db as primary_source, a.target as primary_target, a.evalue as primary_evalue, a.fident as primary_identity, a.qcov as primary_coverage, coalesce(nullif(a.description, ''), 'hypothetical protein') as description,
+    {_steps("a.fident", NOVELTY, "twilight_zone")} as novelty, b.source_db as secondary_source, b.target as secondary_target, b.evalue as secondary_evalue, b.fident as secondary_identity,
+    round(coalesce(a.structure_quality, 1.0::double), 3) as structure_quality_score, coalesce(a.structure_source, 'none') as structure_quality_source, a.gene, a.uniprot_id, a.pfam, a.superfamily, a.go_bp, a.go_mf,
     case when b.query is null then 'single' else {_agreement("a.description", "b.description", "a.terms", "b.terms")} end as agreement, a.score
   from ranked a left join ranked b on a.query = b.query and b.p = 2 where a.p = 1),
 raised as (
   select *, round(least(1.0::double, score * case agreement when 'agree' then 1.3::double when 'partial' then 1.15::double else 1.0::double end), 9) as c, {_first(text, rules.KEYWORDS)} as rule, {text} as t from paired),
-named as (select *, {_by_keywords("rule", "t")} as functional_category, {_steps("c", scoring.LEVELS, "very_low")} as level from raised),
-held as (select query, string_agg(source_db, ',' order by source_db) as databases from best group by query)
-select sequence_id as query, cast(length(coalesce(aa, '')) as integer) as query_length, primary_source, primary_target, primary_evalue, primary_identity,
-  coalesce(description, 'hypothetical protein') as description, coalesce(functional_category, 'unknown') as functional_category, case when n.query is not null then 'keywords' end as classification_source,
-  novelty, secondary_source, secondary_target, coalesce(agreement, 'none') as agreement,
+named as (select *, {category} as functional_category, {source} as classification_source, {_steps("c", LEVELS, "very_low")} as level from raised),
+held as (select query, string_agg(source_db, ',' order by source_db) as databases from best group by query),
+sizes as (select query, cast(count(*) filter (source_db = 'bfvd') as bigint) as bfvd_hits, cast(count(*) filter (source_db = 'viro3d') as bigint) as viro3d_hits from hits group by query)
+select sequence_id as query, cast(length(coalesce(aa, '')) as integer) as query_length, primary_source, primary_target, primary_evalue, primary_identity, primary_coverage,
+  coalesce(description, 'hypothetical protein') as description, coalesce(functional_category, 'unknown') as functional_category, classification_source,
+  novelty, structure_quality_score, structure_quality_source, gene, null::varchar as organism, uniprot_id, pfam, go_bp, go_mf, null::varchar as go_cc, superfamily,
+  secondary_source, secondary_target, secondary_evalue, secondary_identity, coalesce(agreement, 'none') as agreement,
   case when n.query is null then 0.0::double else round(least(1.0::double, score * case agreement when 'agree' then 1.3::double when 'partial' then 1.15::double else 1.0::double end), 6) end as consensus_score,
-  case when n.query is null then 'none' when agreement = 'agree' and level = 'medium' then 'high' when agreement = 'agree' and level = 'low' then 'medium' else level end as confidence_level, databases
-from proteins left join named n on n.query = sequence_id left join held h on h.query = sequence_id""")
+  case when n.query is null then 'none' when agreement = 'agree' and level = 'medium' then 'high' when agreement = 'agree' and level = 'low' then 'medium' else level end as confidence_level, databases,
+  coalesce(bfvd_hits, 0) as bfvd_hits, coalesce(viro3d_hits, 0) as viro3d_hits
+from proteins left join named n on n.query = sequence_id left join held h on h.query = sequence_id left join sizes z on z.query = sequence_id""")
 
 
 def _structure() -> str:
@@ -199,11 +239,9 @@ def _families() -> str:
 
 
 def _hierarchy() -> str:
-    text = "lower(coalesce(function, '') || ' ')"
-    found = {"pfam": ("pfam", rules.PFAM), "go_bp": ("go", rules.GO_PROCESS), "go_mf": ("go", rules.GO_FUNCTION)}
-    cols = ", ".join(f"{_by_terms(c, t)} as c_{n}" for n, (c, t) in found.items())
-    source = " ".join(f"when c_{n} is not null then '{n}:' || {c}" for n, (c, _) in found.items())
-    return _with(_GOLD, f"r as (select *, {text} as t, {_first(text, rules.KEYWORDS)} as rule, {cols} from gold)") + f"select protein_id, coalesce(c_pfam, c_go_bp, c_go_mf, {_by_keywords('rule', 't')}) as category, case {source} else 'keywords' end as classification_source from r"
+    text = "lower(coalesce(function, '') || ' ' || coalesce(gene, ''))"
+    category, source = _ladder("t", "rule")
+    return _with(_GOLD, f"e as (select *, {_drawn_texts('protein_id')} from gold)", f"r as (select *, {text} as t, {_first(text, rules.KEYWORDS)} as rule from e)") + f"select protein_id, {category} as category, {source} as classification_source from r"
 
 
 def _votes() -> str:
@@ -253,15 +291,15 @@ def statements() -> dict[str, str]:
     text = "lower(coalesce(function, '') || ' ')"
     bins = "case when primary_identity < 0.2 then '0.0-0.2' when primary_identity < 0.3 then '0.2-0.3' when primary_identity < 0.4 then '0.3-0.4' when primary_identity < 0.5 then '0.4-0.5' when primary_identity < 1.0 then '0.5-1.0' else 'none' end"
     transfer = (_HITS, _GOLD, _TRANSFER)
-    go_text = "lower(coalesce(b.go_term, '') || case when aspect = 'MF' then ' dna polymerase activity' else ' capsid assembly' end)"
+    go_text = "lower(coalesce(b.go_term, ''))"
     return {
         "consensus_best_hits": _consensus(),
         "hit_scores": _with(*scores) + "select source_db, count(*) as n, round(avg(score), 6) as mean_score, max(score) as best_score, min(score) as least_score from scored group by source_db",
         "best_per_database": _with(*scores, _BEST) + "select query, source_db, target, score from best",
         "hit_merge_best": _with(_HITS) + "select query, evalue, target from (select *, row_number() over (partition by query order by evalue, target) as o from hits where source_db in ('bfvd', 'viro3d', 'esmatlas')) where o = 1",
         "best_hits_by_bits": _with(_HITS) + "select query, target, source_db from (select *, row_number() over (partition by query order by bits desc, target, source_db) as o from hits where bits is not null) where o = 1",
-        "hit_levels": _with(_HITS) + f"select source_db, {_steps(f'({level})', scoring.HIT_LEVELS, 'very_low')} as level, count(*) as n from hits group by all",
-        "novelty_distribution": _with(_HITS) + f"select source_db, {_steps('fident', scoring.NOVELTY, 'twilight_zone')} as novelty, count(*) as n, round(avg(fident), 6) as mean_identity from hits group by all",
+        "hit_levels": _with(_HITS) + f"select source_db, {_steps('(' + level + ')', HIT_LEVELS, 'very_low')} as level, count(*) as n from hits group by all",
+        "novelty_distribution": _with(_HITS) + f"select source_db, {_steps('fident', NOVELTY, 'twilight_zone')} as novelty, count(*) as n, round(avg(fident), 6) as mean_identity from hits group by all",
         "run_summary": _with(_RESULTS) + _distribution(["functional_category", "confidence_level", "primary_source"]),
         "score_statistics": _with(_RESULTS, "o as (select *, row_number() over (partition by confidence_level order by consensus_score) - 1 as i, count(*) over (partition by confidence_level) as k from results where consensus_score is not null)")
         + "select r.confidence_level, min(r.consensus_score) as least, max(r.consensus_score) as greatest, round(avg(r.consensus_score), 6) as mean, any_value(o.consensus_score) as median from results r join o on o.confidence_level = r.confidence_level and o.i = o.k // 2 group by r.confidence_level",

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from capsidora import schemas
 from capsidora.functions import sequences
 from capsidora.functions.text import gff_attributes
-from capsidora.operators.genome import distinct_names, merged_parts
+from capsidora.operators.genome import containing, distinct_names, merged_parts
 
 SUFFIXES = {"genbank": (".gb", ".gbk", ".genbank", ".gbff"), "gff": (".gff", ".gff3"), "nucleotide": (".fna", ".ffn"), "fasta": (".fa", ".faa", ".fasta", ".fas")}
 
@@ -49,12 +49,21 @@ def _sql(column: str) -> str:
     return f"regexp_replace(regexp_replace(`{column}`, '\r', ''), '^>', '')"
 
 
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """value, ord: the records of FASTA files, split by the reader; files that begin with gzip's bytes but lack its suffix are unpacked whole."""
+    packed = spark.read.format("binaryFile").load(path).where("path not like '%.gz'").select(F.substring("content", 1, 2).alias("h")).where("h = X'1F8B'")
+    if not packed.isEmpty():
+        whole = read_texts(spark, path).select(F.explode(F.split("text", r"\n(?=>)")).alias("value"))
+        return whole.withColumn("ord", F.monotonically_increasing_id())
+    return spark.read.option("lineSep", "\n>").text(path).withColumn("ord", F.monotonically_increasing_id())
+
+
 def read_fasta(spark: SparkSession, path: str, min_length: int = 1, max_length: int | None = None) -> DataFrame:
     """Protein records: ord, id (unique), description, sequence, warnings. Records are split by the reader, so one large file is read in parallel.
 
     Sequences are upper-cased, stops at the end dropped, foreign signs X; records that are then too short or too long, and empty ones, are left out.
     """
-    raw = parse_fasta(spark.read.option("lineSep", "\n>").text(path).withColumn("ord", F.monotonically_increasing_id()))
+    raw = parse_fasta(read_records(spark, path))
     clean = raw.withColumn("warnings", sequences.protein_warnings(F.col("sequence"))).withColumn("sequence", sequences.clean_protein(F.col("sequence")))
     kept = clean.where(F.length("sequence") >= max(1, min_length))
     if max_length is not None:
@@ -64,7 +73,7 @@ def read_fasta(spark: SparkSession, path: str, min_length: int = 1, max_length:
 
 def read_contigs(spark: SparkSession, path: str) -> DataFrame:
     """contig, sequence of a nucleotide FASTA; the first record of a name holds."""
-    raw = parse_fasta(spark.read.option("lineSep", "\n>").text(path).withColumn("ord", F.monotonically_increasing_id()))
+    raw = parse_fasta(read_records(spark, path))
     return raw.groupBy(F.col("id").alias("contig")).agg(F.upper(F.min_by("sequence", "ord")).alias("sequence"))
 
 
@@ -82,6 +91,12 @@ def read_gff(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return features, parse_fasta(embedded).groupBy(F.col("id").alias("contig")).agg(F.upper(F.min_by("sequence", "ord")).alias("sequence"))
 
 
+def read_gff_comments(spark: SparkSession, path: str) -> DataFrame:
+    """ord, line of the comments before any embedded sequences."""
+    whole = read_texts(spark, path)
+    return whole.select(F.posexplode(F.split(F.substring_index("text", "##FASTA", 1), r"\r?\n")).alias("ord", "line")).where(F.col("line").startswith("#"))
+
+
 def coding_proteins(features: DataFrame, contigs: DataFrame, code: str = sequences.STANDARD) -> DataFrame:
     """Proteins of the CDS features: parts of one ID (or Parent) are spliced in the order of the strand, then translated up to the first stop.
 
@@ -97,12 +112,6 @@ def coding_proteins(features: DataFrame, contigs: DataFrame, code: str = sequenc
     return spliced.select("ord", F.col("name").alias("id"), "contig", "start", "end", "strand", sequences.translate(F.col("coding"), code).alias("sequence"))
 
 
-def translation_table(features: DataFrame) -> int:
-    """The first transl_table attribute of the features, else 1."""
-    row = features.where(F.element_at("attributes", "transl_table").isNotNull()).orderBy("ord").select(F.element_at("attributes", "transl_table")).first()
-    return int(row[0]) if row else 1
-
-
 _LOCATION = re.compile(r"<?(\d+)(?:\.\.>?(\d+))?")
 
 
@@ -163,8 +172,8 @@ def genbank_proteins(features: DataFrame) -> DataFrame:
     named = features.withColumn("id", name)
     cds = named.where("type = 'CDS'").where(F.element_at(q, "translation").isNotNull())
     peptides = named.where("type = 'mat_peptide' and contig_sequence is not null")
-    p, c = peptides.select("contig", "start", "end", F.col("id").alias("part_id"), "ord").alias("p"), cds.alias("c")
-    parent = p.join(c, (F.col("p.contig") == F.col("c.contig")) & (F.col("c.start") <= F.col("p.start")) & (F.col("c.end") >= F.col("p.end"))).groupBy("p.contig", "p.ord").agg(F.min(F.struct("c.ord", "c.id")).alias("b")).select("contig", "ord", F.col("b.id").alias("parent"))
+    parts = peptides.select("contig", "start", "end", F.struct("contig", "ord").alias("part_id"))
+    parent = containing(parts, cds.select("contig", "start", "end", "ord", F.col("id").alias("whole_id"))).select("part_id.contig", "part_id.ord", F.col("whole_id").alias("parent"))
     placed = peptides.join(parent, ["contig", "ord"], "left")
     split = placed.where("parent is not null").groupBy("contig", F.col("parent").alias("id")).count().where("count >= 2")
     cols = ["id", "contig", "start", "end", "strand", "sequence", F.col("type").alias("feature_type"), "parent"]
@@ -174,11 +183,26 @@ def genbank_proteins(features: DataFrame) -> DataFrame:
 
 
 def read_hits(spark: SparkSession, path: str, source_db: str | None = None) -> DataFrame:
-    """Search hits of 16 tab-separated columns without a header; broken lines are dropped."""
-    hits = spark.read.schema(schemas.HITS).option("sep", "\t").option("mode", "DROPMALFORMED").csv(path)
+    """Search hits of 16 tab-separated columns (more are ignored) without a header; :func:`broken_hits` has the lines that aren't such hits."""
+    hits = _hit_lines(spark, path).where("broken is null").drop("broken")
     return hits.withColumn("source_db", F.lit(source_db)) if source_db else hits
 
 
+def broken_hits(spark: SparkSession, path: str) -> DataFrame:
+    """Lines (broken) that have fewer than 16 fields or a number that can't be read; empty lines aren't among them."""
+    return _hit_lines(spark, path).where("broken is not null").select("broken")
+
+
+def _hit_lines(spark: SparkSession, path: str) -> DataFrame:
+    lines = spark.read.text(path).where("trim(value) <> ''").select("value", F.split("value", "\t").alias("f"))
+    cols = [F.get("f", i).try_cast(x.dataType).alias(x.name) for i, x in enumerate(schemas.HITS.fields)]
+    good = F.size("f") >= len(cols)
+    for i, x in enumerate(schemas.HITS.fields):
+        if x.dataType.typeName() != "string":
+            good = good & F.get("f", i).try_cast(x.dataType).isNotNull()
+    return lines.select(*cols, F.when(~good, F.col("value")).alias("broken"))
+
+
 def read_terms(spark: SparkSession, path: str) -> DataFrame:
     """name, go_id: names and exact synonyms of the terms of an OBO file, in lower case; obsolete terms are left out."""
     t = spark.read.option("lineSep", "[Term]").text(path).where(F.col("value").contains("id: GO:") & ~F.col("value").contains("is_obsolete: true"))

@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import json
-import os
-from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -32,17 +30,33 @@ def write_lines(lines: DataFrame, path: str) -> None:
     lines.write.mode("overwrite").text(path)
 
 
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """One small text file, in whatever file system the path names; it replaces an older one at once."""
+    jvm = spark._jvm
+    part, at = jvm.org.apache.hadoop.fs.Path(f"{path}.part"), jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(part, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    fs.delete(at, False)
+    if not fs.rename(part, at):
+        raise OSError(f"can't write {path}")
+
+
 def write_summary(tables: dict[str, DataFrame], path: str, most: int = 10_000) -> None:
-    """Small tables of a report as one JSON file, which replaces an older one at once; a table of more than ``most`` rows is an error."""
+    """Small tables of a report as one JSON file beside the tables; a table of more than ``most`` rows is an error."""
     out = {}
+    spark = None
     for name, df in tables.items():
+        spark = df.sparkSession
         rows = df.limit(most + 1).collect()
         if len(rows) > most:
             raise ValueError(f"{name} has more than {most} rows")
         out[name] = [r.asDict(recursive=True) for r in rows]
-    part = Path(f"{path}.part")
-    part.write_text(json.dumps(out, indent=2, default=str, sort_keys=True))
-    os.replace(part, path)
+    if spark is not None:
+        put_text(spark, path, json.dumps(out, indent=2, default=str, sort_keys=True))
 
 
 def append_missing(df: DataFrame, path: str, key: str) -> int:

@@ -4,7 +4,7 @@ import json
 import numpy as np
 
 from capsidora.plans import pipeline
-from capsidora.sources import files, sinks
+from capsidora.sources import files, genomes, sinks
 from capsidora.streaming import ingest
 
 
@@ -32,7 +32,7 @@ def test_gff(spark, tmp_path):
     features, contigs = files.read_gff(spark, str(p))
     got = {r.id: (r.start, r.end, r.sequence) for r in files.coding_proteins(features, contigs).collect()}
     assert got == {"g1": (1, 9, "MA"), "g2": (1, 9, "GGH")}
-    assert files.translation_table(features) == 1 and files.format_of("a/b.GFF3.gz") == "gff"
+    assert genomes.table_of(features, files.read_gff_comments(spark, str(p))) == 1 and files.format_of("a/b.GFF3.gz") == "gff"
 
 
 def test_genbank(spark, tmp_path):
