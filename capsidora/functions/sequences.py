@@ -38,18 +38,13 @@ def splice(contig: Column, intervals: Column, strand: Column) -> Column:
 
 
 def translate(coding: Column, code: str = STANDARD) -> Column:
-    """The protein of a coding sequence up to its first stop; unknown codons are X and a rest of one or two bases is dropped."""
-    text = F.translate(F.upper(coding), "U", "T")
-    n = F.floor(F.length(text) / 3).cast("int")
-    place = lambda c: F.instr(F.lit(_BASES), c) - 1
-
-    def amino(i: Column) -> Column:
-        at = [F.substring(text, i * 3 + k, F.lit(1)) for k in (1, 2, 3)]
-        known = (place(at[0]) >= 0) & (place(at[1]) >= 0) & (place(at[2]) >= 0)
-        return F.when(known, F.substring(F.lit(code), place(at[0]) * 16 + place(at[1]) * 4 + place(at[2]) + 1, F.lit(1))).otherwise("X")
-
-    codons = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    return F.substring_index(F.array_join(F.transform(codons, amino), ""), "*", 1)
+    """The protein of a coding sequence up to its first stop; unknown codons are X and a rest of one or two bases is dropped.
+
+    The sequence is cut into codons once, so that the work grows with its length alone.
+    """
+    table = F.create_map(*[F.lit(x) for i, amino in enumerate(code) for x in (_BASES[i // 16] + _BASES[i // 4 % 4] + _BASES[i % 4], amino)])
+    codons = F.regexp_extract_all(F.translate(F.upper(coding), "U", "T"), F.lit("([A-Z]{3})"))
+    return F.substring_index(F.array_join(F.transform(codons, lambda x: F.coalesce(F.element_at(table, x), F.lit("X"))), ""), "*", 1)
 
 
 def mask(sequence: Column, scores: Column, threshold: float = 0.7, sign: str = "X") -> Column:

@@ -85,8 +85,8 @@ def go_ids(text: Column) -> Column:
 
 def gff_attributes(text: Column) -> Column:
     """Attributes of a GFF line as a map; entries without a value are dropped, percent signs decoded, the last of equal keys holds."""
-    items = F.filter(F.transform(F.split(text, ";"), F.trim), lambda x: x.contains("="))
-    pairs = F.transform(items, lambda x: F.struct(F.trim(F.substring_index(x, "=", 1)).alias("k"), F.try_url_decode(F.replace(F.trim(F.substring(x, F.instr(x, "=") + 1, F.length(x))), F.lit("+"), F.lit("%2B"))).alias("v")))
+    items = F.filter(F.transform(F.split(text, ";"), lambda x: F.trim(x)), lambda x: x.contains("="))
+    pairs = F.transform(items, lambda x: F.struct(F.trim(F.substring_index(x, "=", 1)).alias("k"), F.try_url_decode(F.replace(F.trim(F.regexp_extract(x, r"^[^=]*=([\s\S]*)$", 1)), F.lit("+"), F.lit("%2B"))).alias("v")))
     last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs) - i - 1, F.lit(0))), lambda q: q["k"] == p["k"]))
     return F.map_from_entries(last)
 

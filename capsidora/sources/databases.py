@@ -174,7 +174,7 @@ def restored_ids(hits: DataFrame, ids: DataFrame, column: str = "query") -> Data
 def read_swissprot_json(spark: SparkSession, path: str) -> DataFrame:
     """accession, name, organism, lineage, length, go_annotations of a JSON object from accession to entry."""
     entry = "struct<name:string,organism:string,lineage:string,length:int,go_annotations:array<struct<go_id:string,go_term:string,aspect:string,evidence_code:string>>>"
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     rows = whole.select(F.explode(F.from_json("value", f"map<string,{entry}>")).alias("accession", "e"))
     return rows.select("accession", "e.*")
 
@@ -254,7 +254,7 @@ def read_gold_table(spark: SparkSession, path: str) -> DataFrame:
 def read_truth(spark: SparkSession, path: str) -> DataFrame:
     """protein_id, true_category of a ground-truth JSON in any of its layouts: ``entries`` as a list, ``proteins`` by id with category or expected_category."""
     entry = "struct<protein_id:string,true_category:string,category:string,expected_category:string>"
-    whole = spark.read.option("wholetext", True).text(path).select(F.from_json("value", f"entries array<{entry}>, proteins map<string,{entry}>").alias("j"))
+    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", f"entries array<{entry}>, proteins map<string,{entry}>").alias("j"))
     listed = whole.select(F.explode("j.entries").alias("e")).select("e.protein_id", F.coalesce("e.true_category", "e.category", "e.expected_category").alias("true_category"))
     mapped = whole.select(F.explode("j.proteins").alias("protein_id", "e")).select("protein_id", F.coalesce("e.category", "e.expected_category", "e.true_category").alias("true_category"))
     return listed.unionByName(mapped).where("protein_id is not null and true_category is not null")
@@ -265,7 +265,7 @@ def read_lookup_cache(spark: SparkSession, path: str) -> DataFrame:
     entry = "struct<description:string,gene:string,organism:string>"
     if not exists(spark, path):
         return spark.createDataFrame([], "accession string, description string, gene string, organism string")
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     return whole.select(F.explode(F.from_json("value", f"map<string,{entry}>")).alias("accession", "e")).select("accession", "e.*")
 
 

@@ -89,7 +89,7 @@ def predictions(df: DataFrame, threshold: float = 0.7) -> tuple[DataFrame, DataF
     total = F.aggregate("scores", F.lit(0.0), lambda s, x: s + F.coalesce(x.cast("double"), F.lit(0.0)))
     mean = F.when(F.size("scores") > 0, total / F.size("scores")).otherwise(0.0)
     raw = df.where("three_di is not null")
-    return raw.select("id", F.col("three_di").alias("sequence")), raw.select("id", sequences.mask(F.col("three_di"), F.col("scores"), threshold).alias("sequence")), raw.select("id", F.length("three_di").alias("length"), F.format_number(mean, "0.0000").alias("mean_confidence"))
+    return raw.select("id", F.col("three_di").alias("sequence")), raw.select("id", sequences.mask(F.col("three_di"), F.col("scores"), threshold).alias("sequence")), raw.select("id", F.length("three_di").alias("length"), F.format_string("%.4f", mean).alias("mean_confidence"))
 
 
 def write_predictions(df: DataFrame, folder: str, threshold: float = 0.7) -> None:

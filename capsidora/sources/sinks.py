@@ -73,3 +73,43 @@ def append_missing(df: DataFrame, path: str, key: str) -> int:
     new.write.mode("append").parquet(path)
     new.unpersist()
     return n
+
+
+def write_embeddings(df: DataFrame, path: str, rows: int = 100_000) -> None:
+    """protein_id, source_db, embedding as .npz archives of at most so many rows, in a folder that all executors see as a file system."""
+    import io
+    import os
+    from collections.abc import Iterator
+
+    import numpy as np
+    import pandas as pd
+    from pyspark import TaskContext
+
+    folder = path.removeprefix("file://")
+    os.makedirs(folder, exist_ok=True)
+
+    def put(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        n = part = 0
+
+        def save() -> None:
+            nonlocal held, n, part
+            if n:
+                whole = pd.concat(held)
+                out = io.BytesIO()
+                np.savez(out, protein_ids=whole.protein_id.astype(str).to_numpy(str), source_dbs=whole.source_db.astype(str).to_numpy(str), embeddings=np.stack(whole.embedding.to_list()).astype(np.float32))
+                name = f"{folder}/part-{TaskContext.get().partitionId():05d}-{part:03d}.npz"
+                with open(f"{name}.part", "wb") as f:
+                    f.write(out.getvalue())
+                os.replace(f"{name}.part", name)
+            held, n, part = [], 0, part + 1
+
+        for f in frames:
+            held.append(f)
+            n += len(f)
+            if n >= rows:
+                save()
+        save()
+        yield pd.DataFrame({"n": pd.Series([], dtype="int64")})
+
+    df.select("protein_id", "source_db", "embedding").mapInPandas(put, "n bigint").count()
