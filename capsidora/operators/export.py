@@ -89,8 +89,9 @@ def dramv_annotations(results: DataFrame, order: list[str] | None = None) -> Dat
 
 
 def gff_lines(results: DataFrame, source: str = "capsidora") -> DataFrame:
-    """One GFF3 line of each protein that has contig, start and end."""
-    rows = results.where("contig is not null and start is not null and end is not null")
+    """One GFF3 line of each protein that has contig, start and end; none where the table has no such columns."""
+    missing = {c: F.lit(None).cast("string" if c == "contig" else "int") for c in ("contig", "start", "end") if c not in results.columns}
+    rows = (results.withColumns(missing) if missing else results).where("contig is not null and start is not null and end is not null")
     ids = F.array_compact(F.array(*[F.nullif(F.replace(_text(rows, n), F.lit("; "), F.lit(",")), F.lit("")) for n in ("go_bp_ids", "go_mf_ids")]))
     pfam = _text(rows, "pfam")
     attributes = F.array_compact(F.array(
