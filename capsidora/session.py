@@ -67,6 +67,15 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(at))
 
 
+def first_bytes(spark: SparkSession, path: str, n: int) -> bytes:
+    fs, at = _file_system(spark, path)
+    stream = fs.open(at)
+    try:
+        return bytes(b for b in (stream.read() for _ in range(n)) if b >= 0)
+    finally:
+        stream.close()
+
+
 def release(spark: SparkSession | None = None) -> None:
     """Delete what was settled (by one session, or by all); results that read it must have been written before."""
     kept = []

@@ -16,6 +16,7 @@ from capsidora import schemas
 from capsidora.functions import sequences
 from capsidora.functions.text import gff_attributes
 from capsidora.operators.genome import containing, distinct_names, merged_parts
+from capsidora.session import first_bytes
 
 SUFFIXES = {"genbank": (".gb", ".gbk", ".genbank", ".gbff"), "gff": (".gff", ".gff3"), "nucleotide": (".fna", ".ffn"), "fasta": (".fa", ".faa", ".fasta", ".fas")}
 
@@ -26,7 +27,7 @@ def format_of(path: str) -> str:
     return next((f for f, ends in SUFFIXES.items() if bare.endswith(ends)), "fasta")
 
 
-def read_texts(spark: SparkSession, path: str) -> DataFrame:
+def read_texts(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """path, text of whole files, unpacked where their first bytes say gzip, whatever their suffix."""
 
     def unpack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -50,12 +51,18 @@ def _sql(column: str) -> str:
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """value, ord: the records of FASTA files, split by the reader; files that begin with gzip's bytes but lack its suffix are unpacked whole."""
-    packed = spark.read.format("binaryFile").load(path).where("path not like '%.gz'").select(F.substring("content", 1, 2).alias("h")).where("h = X'1F8B'")
-    if not packed.isEmpty():
-        whole = read_texts(spark, path).select(F.explode(F.split("text", r"\n(?=>)")).alias("value"))
-        return whole.withColumn("ord", F.monotonically_increasing_id())
-    return spark.read.option("lineSep", "\n>").text(path).withColumn("ord", F.monotonically_increasing_id())
+    """value, ord: the records of FASTA files, split by the reader, so that a large file is read in parallel.
+
+    Files whose first two bytes are gzip's but whose names don't say so are unpacked whole; only those two bytes of each file are read beforehand.
+    """
+    names = [r.path for r in spark.read.format("binaryFile").load(path).select("path").collect()]
+    packed = [n for n in names if not n.endswith(".gz") and first_bytes(spark, n, 2) == b"\x1f\x8b"]
+    plain = [n for n in names if n not in set(packed)]
+    out = spark.read.option("lineSep", "\n>").text(plain) if plain else spark.createDataFrame([], "value string")
+    if packed:
+        whole = read_texts(spark, packed).select(F.explode(F.split("text", r"\n(?=>)")).alias("value"))
+        out = out.unionByName(whole)
+    return out.withColumn("ord", F.monotonically_increasing_id())
 
 
 def read_fasta(spark: SparkSession, path: str, min_length: int = 1, max_length: int | None = None) -> DataFrame:

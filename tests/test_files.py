@@ -25,6 +25,15 @@ def test_fasta(spark, tmp_path):
     assert again == {k: v.sequence for k, v in got.items()}
 
 
+def test_packed_fasta(spark, tmp_path):
+    folder = tmp_path / "several"
+    folder.mkdir()
+    (folder / "a.faa").write_bytes(gzip.compress(b">p1\nMK\n>p2\nMV\n"))
+    (folder / "b.faa.gz").write_bytes(gzip.compress(b">p3\nML\n"))
+    write(folder, "c.faa", ">p4\nMA\n")
+    assert {r.id: r.sequence for r in files.read_fasta(spark, str(folder)).collect()} == {"p1": "MK", "p2": "MV", "p3": "ML", "p4": "MA"}
+
+
 def test_gff(spark, tmp_path):
     lines = ["##gff-version 3", "c\tx\tCDS\t1\t3\t.\t+\t0\tID=g1", "c\tx\tCDS\t7\t9\t.\t+\t0\tID=g1", "c\tx\tCDS\t1\t9\t.\t-\t0\tID=g2;Note=a%2Cb", "broken", "##FASTA", ">c", "ATGCCC", "GCCTAA"]
     p = tmp_path / "x.gff3"
