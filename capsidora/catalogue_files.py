@@ -367,7 +367,21 @@ def aligned_identity(spark: SparkSession, d: str) -> DataFrame:
     return out.select("id", "target", F.round("identity", 6).alias("identity"), "kept")
 
 
+def worst_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    return validation.worst_conflicts(validation.database_pairs(c._told(spark, d)), 25).select("query", "db1", "db2", "similarity", "severity")
+
+
+def dataset_distribution(spark: SparkSession, d: str) -> DataFrame:
+    """Categories and families of the gold standard by number."""
+    return report.distributions(c.gold(spark, d), ["truth", "family"])
+
+
+def hit_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return report.hit_coverage(c.hits(spark, d), c.proteins(spark, d).select(F.col("sequence_id").alias("query")))
+
+
 NAMES = [
+    *("worst_conflicts", "dataset_distribution", "hit_coverage"),
     *("read_fasta", "read_gff", "read_gff_with_proteins", "read_genbank", "read_hits", "read_obo", "read_embeddings", "read_swissprot_json", "read_swissprot_xml", "bfvd_annotation", "viro3d_annotation"),
     *("result_table", "dark_table", "dark_matter_breakdown", "run_figures", "cross_domain_table", "go_summary", "search_database", "prediction_files", "single_hit_transfer", "step_overlay", "triage_overlay", "to_reclassify"),
     *("label_dataset", "informative_unknowns", "limited_hits", "recommendations", "metagenomic_context", "atlas_context", "class_cosines", "silhouette", "baseline_three_way", "dark_reduction", "family_scorecard", "filtered_dataset"),
@@ -408,7 +422,11 @@ def oracle_sql() -> dict[str, str]:
       select target || '_77' as id, i, ({_h("target || cast(i as varchar)", kind, 1000)}) / 1000.0::double as r from (select target, unnest(range(0, {_h('target', 'm', 3)} + 1)) as i from t) where {_h('target', kind, 2)} = 0) group by id)"""
     best_go = "g as (select query, arg_min(struct_pack(r := reliability, d := b.donor, s := b.similarity, c := not b.viral), struct_pack(r := -reliability, g := go_id, d := b.donor)) as b, string_agg(distinct b.evidence_code, '|' order by b.evidence_code) as codes from transfer group by query)"
     transferred = (o._HITS, o._GOLD, o._TRANSFER.replace("viral := viral)", "viral := viral, similarity := similarity)"))
+    severity = "case severity when 'critical' then 3 when 'major' then 2 when 'minor' then 1 else 0 end"
     return {
+        "worst_conflicts": w(*told) + f"select query, db1, db2, similarity, severity from pairs where conflict and {severity} >= 1 order by {severity} desc, similarity, query, db1, db2 limit 25",
+        "dataset_distribution": w(o._GOLD) + "select 'truth' as field, truth as value, count(*) as n from gold group by all union all select 'family', family, count(*) from gold group by all",
+        "hit_coverage": w(o._PROTEINS, o._HITS) + "select (select count(*) from proteins) as queries, count(distinct query) as with_hits, count(*) as hits, count(distinct target) as targets, round(count(*)::double / count(distinct query), 9) as mean_hits from hits",
         "read_fasta": proteins + "select id, cast(length(s) as integer) as length, md5(s) as digest from p where s <> ''",
         "read_gff": proteins + "select 'g.' || id as id, id as contig, 1 as start, cast(length(s) * 3 + 3 as integer) as \"end\", 1 as strand, md5(s) as digest from p where s <> ''",
         "read_gff_with_proteins": proteins + "select id, 'x1' as description, split_part(id, '_', 1) as contig, cast(length(s) * 3 as integer) as \"end\", -1 as strand, md5(s) as digest from p where length(s) >= 50 and length(s) % 2 = 0",

@@ -10,7 +10,13 @@ from capsidora.session import settle
 
 
 def _text(df: DataFrame, name: str, rest: str = "") -> Column:
-    return F.coalesce(F.col(name).cast("string"), F.lit(rest)) if name in df.columns else F.lit(rest)
+    """A column as text; ``rest`` for null, for NaN, and where the column is missing."""
+    if name not in df.columns:
+        return F.lit(rest)
+    c = F.col(name)
+    if dict(df.dtypes)[name] in ("double", "float"):
+        c = F.when(~F.isnan(c), c)
+    return F.coalesce(c.cast("string"), F.lit(rest))
 
 
 def _number(df: DataFrame, name: str, kind: str) -> Column:

@@ -86,3 +86,10 @@ def metagenome_rollup(hits: DataFrame, identity: float = 0.3, coverage: float =
     new = F.col("target").contains("ESM") | F.col("target").contains("MGY")
     cluster = F.when(F.col("target").contains("_"), F.substring_index("target", "_", 1))
     return good.groupBy("query").agg(F.count("*").alias("hits"), F.min("evalue").alias("best_evalue"), F.max("fident").alias("best_identity"), F.bool_or(new).alias("novel"), F.countDistinct(cluster).alias("clusters"))
+
+
+def hit_coverage(hits: DataFrame, queries: DataFrame) -> DataFrame:
+    """One row: queries (query), those with a hit, hits, distinct targets, and mean hits of a query that has any."""
+    asked = queries.select("query").distinct().agg(F.count("*").alias("queries"))
+    some = hits.agg(F.countDistinct("query").alias("with_hits"), F.count("*").alias("hits"), F.countDistinct("target").alias("targets"))
+    return asked.crossJoin(F.broadcast(some)).withColumn("mean_hits", F.round(F.when(F.col("with_hits") > 0, F.col("hits") / F.col("with_hits")).otherwise(0.0), 9))

@@ -40,6 +40,11 @@ def conflicts_from(pairs: DataFrame, least: str = "minor") -> DataFrame:
     return pairs.where("conflict").where(severity_rank(F.col("severity")) >= severity_rank(F.lit(least)))
 
 
+def worst_conflicts(pairs: DataFrame, most: int = 10) -> DataFrame:
+    """The ``most`` worst conflicts of a report: by severity, then smaller similarity, then query and databases."""
+    return conflicts_from(pairs).orderBy(severity_rank(F.col("severity")).desc(), "similarity", "query", "db1", "db2").limit(most)
+
+
 def consistency(annotations: DataFrame) -> DataFrame:
     """For each pair of databases: queries in both, in one only, agreeing, partly, not; equal categories; score."""
     total = annotations.agg(F.countDistinct("query").alias("total"))
