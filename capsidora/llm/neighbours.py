@@ -30,7 +30,7 @@ from capsidora.session import settle
 SIDE = 64
 #: Trees, and candidates of a query (those met in several trees count again), up to ``AT`` vectors. Beyond, candidates grow
 #: with the power 0.3 of the number of vectors, trees with half that power.
-TREES, CANDIDATES, AT = 32, 13_000, 50_000
+TREES, CANDIDATES, AT = 36, 14_600, 50_000
 #: Digits of a string, seven bits each; times that a crowded string is lengthened by as many digits of residuals.
 DIGITS, LEVELS = 4, 2
 #: Lengths of a prefix at which an ascent may stop.
