@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import shutil
 import tempfile
 import uuid
@@ -62,6 +63,11 @@ def _file_system(spark: SparkSession, path: str) -> tuple:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
+def local_path(path: str) -> str:
+    """A path of a mounted file system as programs take it, without its scheme."""
+    return re.sub(r"^file:/+", "/", path)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     fs, at = _file_system(spark, path)
     return bool(fs.exists(at))

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from capsidora.functions import scoring
 from capsidora.functions.text import model_name, named_part
-from capsidora.session import exists
+from capsidora.session import exists, local_path
 
 # Columns of the files, names of the expansion files and of their annotation column.
 BFVD_COLUMNS = "uniprot_id string, structure_id string, plddt double, ptm double, flag string, source string"
@@ -234,7 +234,7 @@ def read_search_database(spark: SparkSession, path: str) -> DataFrame:
                         texts.append(f.read(int(size)).rstrip(b"\x00\n").decode("utf-8", "replace"))
                     yield pd.DataFrame({"id": x["id"], "text": texts})
 
-        local = f"{path}{part}".removeprefix("file://")
+        local = local_path(f"{path}{part}")
         return index.mapInPandas(load, "id string, text string")
 
     heads = ranges("_h").select("id", F.regexp_extract("text", r"^(\S+)", 1).alias("name"))

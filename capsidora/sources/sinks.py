@@ -7,6 +7,8 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from capsidora.session import local_path
+
 
 def fasta_text(name: Column, sequence: Column, description: Column | None = None, width: int = 60) -> Column:
     head = name if description is None else F.concat_ws(" ", name, F.nullif(F.trim(description), F.lit("")))
@@ -85,7 +87,7 @@ def write_embeddings(df: DataFrame, path: str, rows: int = 100_000) -> None:
     import pandas as pd
     from pyspark import TaskContext
 
-    folder = path.removeprefix("file://")
+    folder = local_path(path)
     os.makedirs(folder, exist_ok=True)
 
     def put(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
